@@ -1,0 +1,181 @@
+"""Exact candidate blocks for 64-bit fingerprints that differ in few bits.
+
+A fingerprint is cut into parts; each (part, value) is a token. Two fingerprints that differ in at
+most `radius` bits share at least parts - radius tokens, `need`. Tokens have one global order, rare
+ones first. The first shared token of a pair, in that order, is among the first parts - need + 1
+tokens of both (the prefix); need - 1 further shared tokens come later in the order. So each
+fingerprint goes to the buckets of its prefix tokens, and within a bucket only fingerprints that
+share need - 1 later tokens are compared. A token that a third of all fingerprints share comes last
+in the order of each of them and hardly ever makes a bucket; buckets that are too large all the same
+are cut by the next shared token, and those once more into pairs of blocks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BITS = 64
+
+
+def plan_parts(rows: int, radius: int) -> int:
+    """Number of parts: the more fingerprints, the more shared tokens a block asks for, so that blocks stay small."""
+    need = 2 if rows < 2_000_000 else 3 if rows < 100_000_000 else 4
+    return radius + need
+
+
+def bounds(parts: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each part; widths differ by one at most."""
+    cuts = [BITS * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def tokens(bits: np.ndarray, parts: int) -> np.ndarray:
+    """(rows, parts) of token numbers below parts << 16."""
+    x = bits.view(np.uint64)
+    return np.stack([(np.right_shift(x, np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int32) + (k << 16) for k, (at, width) in enumerate(bounds(parts))], axis=1)
+
+
+def token_counts(fingerprints: DataFrame, parts: int) -> dict[int, int]:
+    """How many fingerprints hold each token. There are at most parts * 2^width tokens, whatever the number of rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(parts << 16, np.int64)
+        for b in batches:
+            total += np.bincount(tokens(b.column(0).to_numpy(zero_copy_only=False), parts).ravel(), minlength=parts << 16)
+        t = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(total[t])], ["token", "n"])
+
+    assert max(w for _, w in bounds(parts)) <= 16
+    counted = fingerprints.select("bits").mapInArrow(count, "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return {r["token"]: r["n"] for r in counted.collect()}
+
+
+def ranks(counts: dict[int, int], parts: int) -> np.ndarray:
+    """Place of each token in the global order, rare ones first; tokens never counted come before all."""
+    n = np.zeros(parts << 16, np.int64)
+    n[list(counts)] = list(counts.values())
+    rank = np.empty(len(n), np.int32)
+    rank[np.lexsort((np.arange(len(n)), n))] = np.arange(len(n), dtype=np.int32)
+    return rank
+
+
+T_BITS = 20  # a token is below 16 << 16
+
+
+def route(fingerprints: DataFrame, payload: str, parts: int, radius: int, counts: dict[int, int], limit: int = 100_000) -> DataFrame:
+    """Each fingerprint once per bucket: bucket, bits and the payload column (a bigint).
+
+    bucket is the prefix token. In buckets of more than `limit` fingerprints it also holds the next
+    shared token, and the fingerprints go to each such smaller bucket; one that is still too large is
+    cut into blocks by a hash of the fingerprint, and they go to every pair of blocks that has theirs.
+    So no task gets more than about twice the limit, and no pair is lost.
+    """
+    need = parts - radius
+    prefix = parts - need + 1
+    rank = ranks(counts, parts)
+    large = np.zeros(parts << 16, bool)
+    if need > 1:
+        large[[t for t, n in counts.items() if n > limit]] = True
+    any_large = bool(large.any())
+
+    def spreading(blocks: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        split = np.array(sorted(blocks), np.int64)
+        number = np.array([blocks[x] for x in sorted(blocks)], np.int64)
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bits, extra = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                t = tokens(bits, parts)
+                t = np.take_along_axis(t, np.argsort(rank[t], axis=1), axis=1).astype(np.int64)
+                for k in range(prefix):
+                    cut = large[t[:, k]] if any_large else None
+                    keep = np.arange(len(bits)) if cut is None else np.flatnonzero(~cut)
+                    if len(keep):
+                        yield _batch(t[keep, k], bits[keep], extra[keep])
+                    if cut is None or not cut.any():
+                        continue
+                    rows = np.flatnonzero(cut)
+                    for later in range(k + 1, parts):
+                        bucket = t[rows, k] | (t[rows, later] + 1) << T_BITS
+                        at = np.searchsorted(split, bucket)
+                        n = np.where((at < len(split)) & (split[np.minimum(at, len(split) - 1)] == bucket), number[np.minimum(at, len(split) - 1)], 1) if len(split) else np.ones(len(rows), np.int64)
+                        own = ((bits[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+                        for other in range(int(n.max())):
+                            has = np.flatnonzero(other < n)
+                            lo, hi = np.minimum(own[has], other), np.maximum(own[has], other)
+                            pair = hi * (hi + 1) // 2 + lo
+                            yield _batch(bucket[has] | pair << (2 * T_BITS + 1), bits[rows[has]], extra[rows[has]])
+
+        return spread
+
+    schema = "bucket bigint, bits bigint, extra bigint"
+    source = fingerprints.select("bits", F.col(payload).alias("extra"))
+    blocks: dict[int, int] = {}
+    if any_large:
+        sizes = source.mapInArrow(spreading({}), schema).where(F.col("bucket") >= 1 << T_BITS).groupBy("bucket").count().where(F.col("count") > limit)
+        blocks = {r["bucket"]: -(-r["count"] // limit) for r in sizes.collect()}
+    return source.mapInArrow(spreading(blocks), schema)
+
+
+def _batch(bucket: np.ndarray, bits: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(bits), pa.array(extra)], ["bucket", "bits", "extra"])
+
+
+def runs_of(bucket: int, bits: np.ndarray, parts: int, radius: int, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sets of the bucket's rows that share its token and need - 1 later ones: (rows, starts, lengths), lengths of 2 or more."""
+    need = parts - radius
+    first, second = bucket & ((1 << T_BITS) - 1), (bucket >> T_BITS & ((1 << (T_BITS + 1)) - 1)) - 1
+    t = tokens(bits, parts)
+    later = rank[t] > rank[first]
+    others = [k for k in range(parts) if k != first >> 16]
+    fixed = [] if second < 0 else [second >> 16]
+    for chosen in combinations(others, need - 1):
+        if fixed and fixed[0] not in chosen:
+            continue
+        ok = np.flatnonzero(np.logical_and.reduce([later[:, k] for k in chosen])) if chosen else np.arange(len(bits))
+        if len(ok) < 2:
+            continue
+        key = np.zeros(len(ok), np.int64)
+        for k in chosen:
+            key = key << 16 | (t[ok, k] & 0xFFFF)
+        order = np.argsort(key.astype(np.uint16) if len(chosen) < 2 else key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        lengths = np.diff(np.append(starts, len(key)))
+        keep = lengths > 1
+        if keep.any():
+            yield ok[order], starts[keep], lengths[keep]
+
+
+def by_bucket(work: Callable[[int, np.ndarray, np.ndarray], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls work(bucket, bits, extra) for every bucket of a partition that is sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now: int | None = None
+        for b in batches:
+            bucket, bits, extra = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            for a, z in zip([0, *cuts], [*cuts, len(bucket)]):
+                if a == z:
+                    continue
+                if now is not None and bucket[a] != now:
+                    if (out := work(now, *map(np.concatenate, zip(*held)))) is not None:
+                        yield out
+                    held = []
+                now = int(bucket[a])
+                held.append((bits[a:z], extra[a:z]))
+        if held and (out := work(now, *map(np.concatenate, zip(*held)))) is not None:
+            yield out
+
+    return run
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).astype(np.int32)
