@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -15,32 +16,54 @@ from shelfmark.tables import valid_hash
 _STATE = "field_name string, key_value string, n bigint, bytes bigint, newest bigint, edge boolean"
 
 
+_NONE = np.iinfo(np.int64).min
+
+
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Where runs of equal keys start in a sorted batch."""
+    new = np.ones(batch.num_rows, bool)
+    if batch.num_rows > 1:
+        differs = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in (batch.column("field_name"), batch.column("key_value"))]
+        new[1:] = differs[0] | differs[1]
+    return np.flatnonzero(new)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition sorted by key: one state per key. Its first and last key may go on in the next partition and are marked."""
-    schema = pa.schema([("field_name", pa.string()), ("key_value", pa.string()), ("n", pa.int64()), ("bytes", pa.int64()), ("newest", pa.int64())])
+
+    def batch_of(states: list[tuple], edge: list[bool]) -> pa.RecordBatch:
+        field, key, n, has, total, newest = (np.concatenate(c) if isinstance(c[0], np.ndarray) else pa.concat_arrays(c) for c in zip(*states))
+        columns = [field, key, pa.array(n), pa.array(total, mask=has == 0), pa.array(newest, mask=newest == _NONE), pa.array(edge)]
+        return pa.RecordBatch.from_arrays(columns, ["field_name", "key_value", "n", "bytes", "newest", "edge"])
+
     held, first = None, True
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch]).append_column("n", pa.array([1], pa.int64()).take(pa.array([0] * batch.num_rows)))
-        g = t.group_by(["field_name", "key_value"], use_threads=False).aggregate([("n", "sum"), ("bytes", "sum"), ("newest", "max")])
-        g = g.select(["field_name", "key_value", "n_sum", "bytes_sum", "newest_max"]).rename_columns(schema.names).cast(schema)
+        at = _starts(batch)
+        size, newest = batch.column("bytes"), batch.column("newest")
+        has = size.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = [batch.column(k).take(pa.array(at)) for k in ("field_name", "key_value")]
+        n = np.diff(np.append(at, batch.num_rows))
+        has, total, newest = np.add.reduceat(has, at), np.add.reduceat(size.fill_null(0).to_numpy(), at), np.maximum.reduceat(newest.fill_null(_NONE).to_numpy(), at)
+        done = None
         if held is not None:
-            same = all(held[k][0].as_py() == g[k][0].as_py() for k in ("field_name", "key_value"))
-            if same:
-                both = pa.concat_tables([held, g.slice(0, 1)])
-                merged = [held[0][0].as_py(), held[1][0].as_py(), pc.sum(both["n"]).as_py(), pc.sum(both["bytes"]).as_py(), pc.max(both["newest"]).as_py()]
-                g = pa.concat_tables([pa.table([[x] for x in merged], schema=schema), g.slice(1)])
+            if all(h[0].as_py() == k[0].as_py() for h, k in zip(held, keys)):
+                n[0] += held[2][0]
+                has[0] += held[3][0]
+                total[0] += held[4][0]
+                newest[0] = max(newest[0], held[5][0])
             else:
-                g = pa.concat_tables([held, g])
-        held = g.slice(g.num_rows - 1)
-        out = g.slice(0, g.num_rows - 1)
-        if out.num_rows:
-            edge = pa.array([first] + [False] * (out.num_rows - 1))
+                done = held
+        state = (*keys, n, has, total, newest)
+        out = [x for x in (done, tuple(c[:-1] for c in state)) if x is not None and len(x[0])]
+        held = tuple(c[-1:] for c in state)
+        if out:
+            rows = sum(len(x[0]) for x in out)
+            yield batch_of(out, [first] + [False] * (rows - 1))
             first = False
-            yield from out.append_column("edge", edge).combine_chunks().to_batches()
     if held is not None:
-        yield from held.append_column("edge", pa.array([True])).combine_chunks().to_batches()
+        yield batch_of([held], [True])
 
 
 def aggregate_by_range(rows: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:

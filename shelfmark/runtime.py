@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -80,3 +82,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application; they needn't have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="shelfmark-code-"), "shelfmark_code"), "zip", os.path.dirname(here), os.path.basename(here))
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(app)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.runtime import ship
+
 FILES = (
     "id bigint, path string, root string, size bigint, mtime bigint, ext string, format string, width bigint, "
     "height bigint, short_side bigint, pid bigint, artist string, content_hash string, phash string, "
@@ -23,6 +25,7 @@ SCHEMAS = {"files": FILES, "dup_groups": DUP_GROUPS, "dup_members": DUP_MEMBERS,
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
