@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.runtime import Written
@@ -99,11 +99,18 @@ def _joined(ids: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
     return np.array(ids, np.int64), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(t) for t in texts])
 
 
-_ANCHOR = "h1 bigint, h2 int, h4 int, doc_id bigint, at int"
+def _starts(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], ends[:-1]))
 
 
 def corpus_anchors(documents: DataFrame, length: int) -> DataFrame:
-    """h1, h2, h4 (hashes of the windows of length/4, length/2 and length from the anchor; null past the end), doc_id, at."""
+    """h, halves, near, doc_id, at: each anchor with the hash of its window of length/4, and 16-bit hashes of longer windows around it.
+
+    halves holds those of the two windows of length/2 that start at the anchor or length/4 before it;
+    near those of the three of 3/4 length that start 0, 1/4 and 1/2 length before it. 0 stands for a
+    window beyond the text. They only serve to drop anchors early; whether a window of the whole
+    length stands elsewhere is told by 64 bits later on.
+    """
     size = length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,34 +118,20 @@ def corpus_anchors(documents: DataFrame, length: int) -> DataFrame:
             for ids, codes, ends in _texts(b, length):
                 at, h = anchors(codes, ends, length)
                 which = np.searchsorted(ends, at, side="right")
-                rest = ends[which] - at
-                far = lambda k: pa.array(_mixed(h[k * size][np.minimum(at, len(h[k * size]) - 1)]).view(np.int64).astype(np.int32), mask=rest < k * size)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(_mixed(h[size][at]).view(np.int64)), far(2), far(4), pa.array(ids[which]), pa.array((at - (ends - np.diff(np.concatenate(([0], ends))))[which]).astype(np.int32))], ["h1", "h2", "h4", "doc_id", "at"])
+                own = at - _starts(ends)[which]
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _ANCHOR)
+                def short(hashes: np.ndarray, quarters: int, before: int) -> np.ndarray:
+                    start = at - before * size  # noqa: B023
+                    x = _mixed(hashes[np.clip(start, 0, len(hashes) - 1)]) >> np.uint64(48)
+                    return np.where((own < before * size) | (start + quarters * size > ends[which]), np.uint64(0), np.maximum(x, np.uint64(1))).astype(np.int64)  # noqa: B023
 
+                half, three = h[2 * size], (h[2 * size][: len(codes) - 3 * size + 1] * _power(size) + h[size][2 * size :]) if len(at) else None
+                halves = (short(half, 2, 0) | short(half, 2, 1) << 16).astype(np.uint32).view(np.int32) if len(at) else np.empty(0, np.int32)
+                near = short(three, 3, 0) | short(three, 3, 1) << 16 | short(three, 3, 2) << 32 if len(at) else np.empty(0, np.int64)
+                key = _mixed(h[size][at]).view(np.int64) if len(at) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(halves), pa.array(near), pa.array(ids[which]), pa.array(own.astype(np.int32))], ["h", "halves", "near", "doc_id", "at"])
 
-def window_probes(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h bigint, doc_id, start): every window of `length` that holds one of the wanted anchors (doc_id, ats: array of positions)."""
-    size = length // 4
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, text, ats in zip(*(b.column(k).to_pylist() for k in range(3))):
-                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                n = len(codes) - length + 1
-                if n < 1:
-                    continue
-                h = _mixed(window_hashes(codes, size)[4 * size])
-                mark = np.zeros(len(codes) + length, np.int32)
-                a = np.array(ats)
-                np.add.at(mark, np.maximum(a - (length - size), 0), 1)
-                np.add.at(mark, a + 1, -1)
-                start = np.flatnonzero(np.cumsum(mark[:n]) > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(np.full(len(start), doc, np.int64)), pa.array(start.astype(np.int32))], ["h", "doc_id", "start"])
-
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").isNotNull())
-    return texts.join(wanted, "doc_id").select("doc_id", "text", "ats").mapInArrow(run, "h bigint, doc_id bigint, start int")
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "h bigint, halves int, near bigint, doc_id bigint, at int")
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,59 +139,123 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select(*keys)
 
 
-def _levels(documents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(anchors repeated at length/4 with a mark whether at length too, starts of the latter)."""
+def _with_text(documents: DataFrame, rows: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
+    """work(doc, code points, list of column arrays) for each document that has rows, its text joined to them once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                codes = np.frombuffer(r["text"].encode("utf-32-le", "surrogatepass"), np.uint32)
+                out = work(r["doc_id"], codes, [np.array([x[c] for x in r["rows"]], np.int64) for c in columns])
+                if out is not None:
+                    yield out
+
+    # rows of one document, of which its text holds a bounded number
+    listed = rows.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias("rows"))
+    texts = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").isNotNull())
+    return texts.join(listed, "doc_id").mapInArrow(run, schema)
+
+
+def _survivors(documents: DataFrame, length: int) -> DataFrame:
+    """doc_id, at of the anchors whose windows of length/4, then one of length/2, then one of 3/4 length another document has too."""
     first = Written(corpus_anchors(documents, length), "anchors")
-    # level 1: anchors that another document has too
-    one = Written(first.df.join(_repeated(first.df, ["h1"]), "h1"), "level1")
+    one = Written(first.df.join(_repeated(first.df, ["h"]), "h"), "level1")
     first.drop()
-    # level 2 and 3: of those, the windows twice and four times as long
-    two = one.df.where(F.col("h4").isNotNull()).join(_repeated(one.df.where(F.col("h4").isNotNull()), ["h1", "h2"]), ["h1", "h2"])
-    two = Written(two.select("h1", "h2", "h4", "doc_id", "at"), "level2")
-    full = Written(two.df.join(_repeated(two.df, ["h1", "h2", "h4"]), ["h1", "h2", "h4"]).select("doc_id", "at", "h1"), "level3")
+    code = lambda column, k: F.shiftright(F.col(column).cast("bigint"), 16 * k).bitwiseAND(F.lit(0xFFFF))
+
+    def kept(rows: DataFrame, keys: dict[int, list[Column]]) -> DataFrame:
+        """Of the windows of each kind, those whose hashes, all present, two documents have."""
+        found = rows.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), *(c.alias(f"c{i}") for i, c in enumerate(cs))) for k, cs in keys.items()))).alias("_w"))
+        names = [f"c{i}" for i in range(len(next(iter(keys.values()))))]
+        found = found.select(*rows.columns, "_w.kind", *(F.col(f"_w.{n}") for n in names)).where(" AND ".join(f"{n} <> 0" for n in names))
+        by = ["h", "kind", *names]
+        return found.join(_repeated(found, by), by).select(*rows.columns).distinct()
+
+    right, left = code("halves", 0), code("halves", 1)
+    two = Written(kept(one.df, {0: [right], 1: [left]}), "level2")
+    one.drop()
+    # each window of 3/4 length holds those of length/2 beside it in its key
+    three = Written(kept(two.df, {0: [code("near", 0), right], 1: [code("near", 1), right * 65536 + left], 2: [code("near", 2), left]}).select("doc_id", "at"), "level3")
     two.drop()
-    return one.df, full.df
+    return three.df
+
+
+def _extended(documents: DataFrame, alive: DataFrame, length: int) -> DataFrame:
+    """doc_id, at, near (hashes of the three windows of 3/4 length that start 0, 1/4 and 1/2 length before the anchor), full (of the four of the whole length); null beyond the text."""
+    size = length // 4
+
+    def work(doc: int, codes: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
+        at = np.sort(columns[0])
+        h = window_hashes(codes, size)
+        three = h[2 * size][: len(codes) - 3 * size + 1] * _power(size) + h[size][2 * size :]
+
+        def lists(hashes: np.ndarray, width: int, count: int) -> pa.Array:
+            start = at[:, None] - size * np.arange(count)
+            ok = (start >= 0) & (start + width <= len(codes))
+            values = _mixed(hashes[np.clip(start, 0, len(hashes) - 1)]).view(np.int64).ravel()
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * count), pa.array(values, mask=~ok.ravel()))
+
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32)), lists(three, 3 * size, 3), lists(h[4 * size], length, 4)], ["doc_id", "at", "near", "full"])
+
+    return _with_text(documents, alive, ["at"], work, "doc_id bigint, at int, near array<bigint>, full array<bigint>")
+
+
+def _every_window(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """h, doc_id, start: for each (doc_id, at, kind) the windows of `length` that hold the kind's window of 3/4 length."""
+    size = length // 4
+
+    def work(doc: int, codes: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
+        h = window_hashes(codes, size)[4 * size]
+        start = np.unique((columns[0] - columns[1] * size)[:, None] - np.arange(size + 1))
+        start = start[(start >= 0) & (start < len(h))]
+        return pa.RecordBatch.from_arrays([pa.array(_mixed(h[start]).view(np.int64)), pa.array(np.full(len(start), doc, np.int64)), pa.array(start.astype(np.int32))], ["h", "doc_id", "start"])
+
+    return _with_text(documents, wanted, ["at", "kind"], work, "h bigint, doc_id bigint, start int")
+
+
+def shared_windows(documents: DataFrame, length: int, all_of_them: bool) -> DataFrame:
+    """(doc_id, start) of windows of `length` that another document has too.
+
+    Level-wise doubling: windows of a quarter of the length at anchors (anchors(): every window of
+    the length holds one, chosen by its content alone) are kept if another document has them, then
+    those of half and three quarters of the length around the anchor, then those of the full length at
+    four places. What stands alone at one level is not extended. A shared window that holds the anchor at
+    none of the four places holds one of three windows of 3/4 length; only where one of these stands
+    elsewhere are all places between compared, one by one.
+
+    With all_of_them the windows found cover everything that is shared; else at least one window
+    comes out for every document that has any, and documents settled early are not looked at again.
+    """
+    alive = Written(_extended(documents, _survivors(documents, length), length), "level4").df
+    size = length // 4
+    places = alive.select("doc_id", "at", F.posexplode("full").alias("k", "h")).where(F.col("h").isNotNull())
+    hits = Written(places.join(_repeated(places, ["h"]), "h").select("doc_id", "at", "k"), "hits").df
+    if all_of_them:
+        # an anchor is settled if all its windows within the text stand elsewhere: they cover all that can be shared around it
+        settled = hits.groupBy("doc_id", "at").agg(F.count("*").alias("n"))
+        rest = alive.join(settled, ["doc_id", "at"], "left").where(F.coalesce("n", F.lit(0)) < 4)
+    else:
+        rest = alive.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
+    kinds = lambda df: df.select("doc_id", "at", F.posexplode("near").alias("kind", "h")).where(F.col("h").isNotNull())
+    asked = kinds(rest).select("kind", "h").distinct().join(_repeated(kinds(alive), ["kind", "h"]), ["kind", "h"])
+    wanted = Written(kinds(alive).join(asked, ["kind", "h"]).select("doc_id", "at", "kind"), "wanted").df
+    probes = Written(_every_window(documents, wanted, length), "probes").df
+    late = probes.join(_repeated(probes, ["h"]), "h").select("doc_id", "start")
+    return late.unionByName(hits.select("doc_id", (F.col("at") - size * F.col("k")).alias("start"))).distinct()
 
 
 def documents_with_shared_spans(documents: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id): documents with a span of at least `length` code points that stands verbatim in another document too.
 
     Null texts and texts shorter than that share nothing; rows of one doc_id are one document; spans
-    repeated within a document don't count. length must be a multiple of 4.
-
-    Level-wise doubling: windows of a quarter of the length at anchor positions (anchors(): every
-    window of `length` holds one, chosen by content alone) are kept if another document has them,
-    then extended to half and to the full length, dropping those that stand alone at each level. For
-    documents that are settled that way no more is done. A span may hold an anchor without starting
-    at one: for the rest, every window that holds a surviving anchor is compared with those at the
-    same anchors in all documents.
+    repeated within a document don't count. length must be a multiple of 4. See shared_windows().
     """
-    alive, full = _levels(documents, length)
-    found = Written(full.select("doc_id").distinct(), "found").df
-    open_ = Written(alive.join(found, "doc_id", "left_anti").select("h1").distinct(), "open").df
-    wanted = alive.join(open_, "h1").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    probes = Written(window_probes(documents, wanted, length), "probes").df
-    late = probes.join(_repeated(probes, ["h"]), "h").select("doc_id").distinct()
-    return found.unionByName(late).distinct()
+    return shared_windows(documents, length, all_of_them=False).select("doc_id").distinct()
 
 
 def shared_spans(documents: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, first, last): disjoint stretches [first, last) of each document covered by spans that another document has too.
-
-    As documents_with_shared_spans(), but every gap between settled anchors is resolved: windows at
-    two neighbouring anchors that both stand elsewhere cover what lies between them; all windows that
-    hold any other surviving anchor are compared one by one.
-    """
-    alive, full = _levels(documents, length)
-    by_doc = Window.partitionBy("doc_id").orderBy("at")
-    marked = alive.select("doc_id", "at", "h1").join(full.select("doc_id", "at", F.lit(True).alias("hit")).distinct(), ["doc_id", "at"], "left")
-    sides = marked.withColumn("before", F.lag("hit").over(by_doc)).withColumn("after", F.lead("hit").over(by_doc))
-    settled = F.col("hit") & F.coalesce(F.col("before"), F.lit(False)) & F.coalesce(F.col("after"), F.lit(False))
-    near = (F.col("at") - F.lag("at").over(by_doc) <= length) & (F.lead("at").over(by_doc) - F.col("at") <= length)
-    open_ = Written(sides.withColumn("near", near).where(~F.coalesce(settled & F.col("near"), F.lit(False))).select("h1").distinct(), "open").df
-    wanted = alive.join(open_, "h1").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    probes = Written(window_probes(documents, wanted, length), "probes").df
-    starts = probes.join(_repeated(probes, ["h"]), "h").select("doc_id", "start").unionByName(full.select("doc_id", F.col("at").alias("start"))).distinct()
+    """(doc_id, first, last): disjoint stretches [first, last) of each document covered by spans that another document has too."""
+    starts = shared_windows(documents, length, all_of_them=True)
     w = Window.partitionBy("doc_id").orderBy("start")
     fresh = F.when(F.col("start") <= F.lag("start").over(w) + length, 0).otherwise(1)
     runs = starts.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
