@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 64
@@ -68,13 +68,15 @@ def ranks(counts: dict[int, int], parts: int) -> np.ndarray:
 T_BITS = 20  # a token is below 16 << 16
 
 
-def route(fingerprints: DataFrame, payload: str, parts: int, radius: int, counts: dict[int, int], limit: int = 100_000) -> DataFrame:
+def route(fingerprints: DataFrame, payload: str, parts: int, radius: int, counts: dict[int, int], limit: int = 100_000, blocked: bool = True) -> DataFrame:
     """Each fingerprint once per bucket: bucket, bits and the payload column (a bigint).
 
     bucket is the prefix token. In buckets of more than `limit` fingerprints it also holds the next
     shared token, and the fingerprints go to each such smaller bucket; one that is still too large is
     cut into blocks by a hash of the fingerprint, and they go to every pair of blocks that has theirs.
-    So no task gets more than about twice the limit, and no pair is lost.
+    So no task gets more than about twice the limit, and no pair is lost. The number of blocks comes
+    from these fingerprints alone; where two inputs are to meet, `blocked` is False for both, no
+    smaller bucket is cut, and in_blocks() cuts the two by one count.
     """
     need = parts - radius
     prefix = parts - need + 1
@@ -117,12 +119,33 @@ def route(fingerprints: DataFrame, payload: str, parts: int, radius: int, counts
     schema = "bucket bigint, bits bigint, extra bigint"
     source = fingerprints.select("bits", F.col(payload).alias("extra"))
     blocks: dict[int, int] = {}
-    if any_large:
+    if any_large and blocked:
         sizes = source.mapInArrow(spreading({}), schema).where(F.col("bucket") >= 1 << T_BITS).groupBy("bucket").count().where(F.col("count") > limit)
         blocks = {r["bucket"]: -(-r["count"] // limit) for r in sizes.collect()}
     return source.mapInArrow(spreading(blocks), schema)
 
 
+def in_blocks(stored: DataFrame, asking: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Both inputs (bucket, bits, ...), uncut, with every bucket of more than `limit` rows cut into blocks in which each stored row meets each asking row once.
+
+    A bucket of n times the limit stored and m times the limit asking rows has n * m blocks; a stored
+    row goes to the m blocks of its part, an asking row to the n blocks of its own. Sizes are of
+    what is there now, so that rows stored at different times, in whatever numbers, fit together.
+    """
+    sizes = stored.select("bucket", F.lit(1).alias("s"), F.lit(0).alias("a")).unionByName(asking.select("bucket", F.lit(0).alias("s"), F.lit(1).alias("a")))
+    over = sizes.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("a").alias("a")).where((F.col("s") > 0) & (F.col("a") > 0) & ((F.col("s") > limit) | (F.col("a") > limit))).collect()
+    if not over:
+        return stored, asking
+    cuts = F.broadcast(stored.sparkSession.createDataFrame([(r["bucket"], -(-r["s"] // limit), -(-r["a"] // limit)) for r in over], "bucket bigint, n bigint, m bigint"))
+    n, m, other = F.coalesce("n", F.lit(1)), F.coalesce("m", F.lit(1)), F.col("other")
+
+    def cut(df: DataFrame, own: Column, others: Column, block: Callable[[Column], Column]) -> DataFrame:
+        spread = df.join(cuts, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("bits"), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)))
+        return spread.withColumn("bucket", F.col("bucket").bitwiseOR(F.shiftleft(block(F.col("own")), 2 * T_BITS + 1))).select(df.columns)
+
+    return cut(stored, n, m, lambda own: own * m + other), cut(asking, m, n, lambda own: other * m + own)
+
+
 def _batch(bucket: np.ndarray, bits: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(bits), pa.array(extra)], ["bucket", "bits", "extra"])
 

@@ -19,7 +19,9 @@ class PrefixIndex:
 
     A posting is (bucket, bits, stamp): the fingerprint under one of its prefix tokens, and the
     number of the batch that brought it first. Tokens are ordered by how rare they were in the batch
-    that founded the index; the order is stored with it and never changes, as a prefix filter needs.
+    that founded the index; the order is stored with it and never changes, as a prefix filter needs;
+    nor does the limit above which a token's bucket is cut by the next shared token. Postings are kept
+    uncut beyond that; probe() cuts what is too large, postings and probes by one count.
     append() only writes the new batch's postings; probe() compares a batch with postings of its own
     buckets and leaves the index as it is. Nothing is read of the batches' tables again.
     """
@@ -31,17 +33,17 @@ class PrefixIndex:
         """Start the index with the token order of these fingerprints (column bits)."""
         parts = hamming.plan_parts(rows, self.radius)
         counts = hamming.token_counts(fingerprints, parts)
-        data = [(parts, int(t), int(n)) for t, n in counts.items()] or [(parts, 0, 0)]
-        self.spark.createDataFrame(data, "parts int, token int, n bigint").coalesce(1).write.parquet(f"{self.path}/order")
+        data = [(parts, self.limit, int(t), int(n)) for t, n in counts.items()] or [(parts, self.limit, 0, 0)]
+        self.spark.createDataFrame(data, "parts int, cut_above bigint, token int, n bigint").coalesce(1).write.parquet(f"{self.path}/order")
         return self
 
-    def _order(self) -> tuple[int, dict[int, int]]:
+    def _order(self) -> tuple[int, int, dict[int, int]]:
         rows = self.spark.read.parquet(f"{self.path}/order").collect()
-        return rows[0]["parts"], {r["token"]: r["n"] for r in rows}
+        return rows[0]["parts"], rows[0]["cut_above"], {r["token"]: r["n"] for r in rows}
 
     def _routed(self, fingerprints: DataFrame, payload: str) -> DataFrame:
-        parts, counts = self._order()
-        return hamming.route(fingerprints, payload, parts, self.radius, counts, self.limit)
+        parts, cut_above, counts = self._order()
+        return hamming.route(fingerprints, payload, parts, self.radius, counts, cut_above, blocked=False)
 
     def append(self, fingerprints: DataFrame) -> None:
         """Add postings of distinct fingerprints: bits and stamp."""
@@ -55,7 +57,7 @@ class PrefixIndex:
         fingerprints: distinct bits, and stamp, the latest batch that asks; only postings of earlier
         stamps count, so one call may probe several batches that are all in the index already.
         """
-        parts, counts = self._order()
+        parts, _, counts = self._order()
         rank = hamming.ranks(counts, parts)
         postings = self.spark.read.schema("bucket bigint, bits bigint, stamp int, slot int").parquet(f"{self.path}/postings").select("bucket", "bits", (F.col("stamp").cast("bigint") * 2).alias("extra"))
         probes = self._routed(fingerprints, "stamp").withColumn("extra", F.col("extra") * 2 + 1)
@@ -84,6 +86,7 @@ class PrefixIndex:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(bits[hit]), pa.array(best[hit])], ["bits", "first"])
 
+        postings, probes = hamming.in_blocks(postings, probes, self.limit)
         both = postings.unionByName(probes).repartition(shuffle_partitions(self.spark), "bucket").sortWithinPartitions("bucket")
         near = both.mapInArrow(hamming.by_bucket(work), "bits bigint, first int")
         return near.groupBy("bits").agg(F.min("first").alias("first"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -170,6 +171,24 @@ def test_repeated_files(spark, rows, files, limit):
     assert by_print | by_hash == want
 
 
+@pytest.mark.parametrize("counts", [(240, 15), (15, 240), (150, 130)])
+def test_probes_meet_every_posting_of_a_large_bucket(spark, rows, counts):
+    rnd = random.Random(11)
+    stored, asked = counts
+    common = lambda k: [rnd.getrandbits(48) << 16 | 0xABCD for _ in range(k)]
+    twins = [rnd.getrandbits(48) << 16 | 0xABCD for _ in range(min(counts))]
+    # six flipped bits in six parts: the pair of equal parts is all that the two share
+    far = [x ^ sum(1 << (8 * k + rnd.randrange(8)) for k in range(2, 8)) for x in twins]
+    old = twins + common(stored - len(twins)) + [rnd.getrandbits(64) for _ in range(2 * stored)]
+    new = far + common(asked - len(far))
+    signed = lambda xs, stamp: rows([(x - 2**64 if x >= 2**63 else x, stamp) for x in xs], "bits bigint, stamp bigint")
+    index = increments.PrefixIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", 6, 20).found(signed(old, 0), len(old))
+    for k in range(0, len(old), 200):  # in several appends of unequal sizes
+        index.append(signed(old[k : k + 200], 0))
+    near = {x.bits % 2**64 for x in index.probe(signed(new, 1)).collect()}
+    assert near == {x for x in new if any(bin(x ^ y).count("1") <= 6 for y in old)} and set(far) <= near
+
+
 def test_repeated_files_of_nothing(rows, files):
     batches = rows(BATCHES, "batch_no int, batch_start bigint, batch_end bigint")
     assert increments.repeated_files(files(), batches).count() == 0
