@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +15,8 @@ from shelfmark.tables import current_files
 TOKEN = re.compile(r"[^\W_]+|\s+|[^\w\s]|_")
 #: Distinct values that one alignment takes; larger groups are aligned in chunks whose profiles are aligned again.
 CHUNK = 64
-#: Tokens by which a column of a profile is recognised when values are aligned to it. Votes are counted apart, over all tokens.
-GUIDE_TOKENS = 32
+#: Scores of a gap, and of two columns without a common token.
+GAP, DIFFERENT = 0.4, -0.5
 
 Profile = list[dict[str, float]]
 
@@ -26,29 +27,40 @@ def tokens_of(value: str) -> list[str]:
 
 def align(profile: Profile, other: Profile) -> list[tuple[int | None, int | None]]:
     """Global alignment of two profiles: pairs of column numbers, None for a gap. Columns score by the share of tokens they agree on."""
-    n, m = len(profile), len(other)
     mass_a, mass_b = [sum(c.values()) or 1.0 for c in profile], [sum(c.values()) or 1.0 for c in other]
-    gap = 0.4
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        best[i][0] = -gap * i
-    for j in range(1, m + 1):
-        best[0][j] = -gap * j
-    agree = [[0.0] * m for _ in range(n)]
+    holders: dict[str, list[int]] = {}
+    for j, b in enumerate(other):
+        for t in b:
+            holders.setdefault(t, []).append(j)
+    agree = [[DIFFERENT] * len(other) for _ in profile]
     for i, a in enumerate(profile):
-        row, up, now = agree[i], best[i], best[i + 1]
-        for j, b in enumerate(other):
+        for j in {j for t in a.keys() & holders.keys() for j in holders[t]}:
+            b = other[j]
             small, large = (a, b) if len(a) < len(b) else (b, a)
             share = sum(w * large[t] for t, w in small.items() if t in large) / (mass_a[i] * mass_b[j])
-            row[j] = 2 * share - 0.5
-            now[j + 1] = max(up[j] + row[j], up[j + 1] - gap, now[j] - gap)
+            agree[i][j] = 2 * share + DIFFERENT
+    return best_path(agree, len(other))
+
+
+def best_path(agree: list[list[float]], m: int) -> list[tuple[int | None, int | None]]:
+    """The global alignment of greatest score: agree has a row per column of one side, with m scores each."""
+    n = len(agree)
+    best = [[-GAP * j for j in range(m + 1)]]
+    for i, row in enumerate(agree, 1):
+        up, left = best[-1], -GAP * i
+        now = [left]
+        for j in range(m):
+            score, above, left = up[j] + row[j], up[j + 1] - GAP, left - GAP
+            left = max(score, above, left)
+            now.append(left)
+        best.append(now)
     path: list[tuple[int | None, int | None]] = []
     i, j = n, m
     while i or j:
         if i and j and best[i][j] == best[i - 1][j - 1] + agree[i - 1][j - 1]:
             i, j = i - 1, j - 1
             path.append((i, j))
-        elif i and best[i][j] == best[i - 1][j] - gap:
+        elif i and (not j or best[i][j] == best[i - 1][j] - GAP):
             i -= 1
             path.append((i, None))
         else:
@@ -58,13 +70,12 @@ def align(profile: Profile, other: Profile) -> list[tuple[int | None, int | None
 
 
 def merge(profile: Profile, other: Profile) -> Profile:
+    """Both profiles as one. A column keeps every token of the two: one left out would be missing where values are aligned to it."""
     out = []
     for i, j in align(profile, other):
         column = dict(profile[i]) if i is not None else {}
         for t, w in (other[j] if j is not None else {}).items():
             column[t] = column.get(t, 0.0) + w
-        if len(column) > GUIDE_TOKENS:
-            column = dict(sorted(column.items(), key=lambda x: (-x[1], x[0]))[:GUIDE_TOKENS])
         out.append(column)
     return out
 
@@ -100,11 +111,13 @@ def consensus_values(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     them, are counted over all rows: the winner is the heaviest, of equals the smaller token. The
     emitted value is the one with the fewest token edits to that consensus, then the heavier, then
     the smaller. Null groups and null values take no part; a group of nulls only has no row; the
-    empty value is a value without tokens. No group is ever gathered in one task: chunks hold at
-    most about `chunk` distinct values, and votes are sums.
+    empty value is a value without tokens. A group's values are never gathered in one task: chunks
+    hold at most about `chunk` distinct values, and votes are sums. What its last merge does gather
+    are the guide's columns with all their distinct tokens. A value meets only those guide entries
+    that its own tokens name, by a join on group and token, not the guide as a whole.
     """
     values = Written(
-        rows.where(F.col("group_id").isNotNull() & F.col("value").isNotNull()).groupBy(F.col("group_id").cast("bigint").alias("group_id"), "value").agg(F.sum(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("weight")),
+        rows.where(F.col("group_id").isNotNull() & F.col("value").isNotNull()).groupBy(F.col("group_id").cast("bigint").alias("group_id"), "value").agg(F.sum(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("weight")).withColumn("value_no", F.monotonically_increasing_id()),
         "values",
     ).df
 
@@ -119,33 +132,64 @@ def consensus_values(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         profiles = [[dict(c) for c in p] for p in pdf["profile"]]
         return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0] // chunk], "profile": [progressive(profiles)]})
 
-    guide = Written(placed.groupBy("group_id", "chunk").applyInPandas(first, _PROFILE), "profiles")
-    while (guide.df.agg(F.max("chunk")).head()[0] or 0) > 0:
-        merged = Written(guide.df.withColumn("up", F.floor(F.col("chunk") / chunk)).groupBy("group_id", "up").applyInPandas(lambda p: again(p), _PROFILE), "profiles")
-        guide.drop()
-        guide = merged
+    pending = Written(placed.groupBy("group_id", "chunk").applyInPandas(first, _PROFILE), "profiles")
+    merged = [pending.df]
+    while pending.df.where("chunk > 0").head() is not None:
+        # groups of one chunk are through; only the others go up a level
+        several = pending.df.where("chunk > 0").select("group_id").distinct()
+        merged[-1] = pending.df.join(several, "group_id", "left_anti")
+        up = pending.df.join(several, "group_id", "left_semi").withColumn("up", F.floor(F.col("chunk") / chunk))
+        pending = Written(up.groupBy("group_id", "up").applyInPandas(lambda p: again(p), _PROFILE), "profiles")
+        merged.append(pending.df)
+    guide = Written(reduce(DataFrame.unionByName, merged).select("group_id", "profile"), "guides").df
+
+    def entries(frames):  # noqa: ANN001, ANN202
+        for pdf in frames:
+            out: dict[tuple[int, str], tuple[list[int], list[float]]] = {}
+            for g, p in zip(pdf["group_id"], pdf["profile"]):
+                for i, column in enumerate(map(dict, p)):
+                    mass = sum(column.values()) or 1.0
+                    for t, w in column.items():
+                        places, scores = out.setdefault((g, t), ([], []))
+                        places.append(i)
+                        scores.append(2 * (w / mass) + DIFFERENT)
+            yield pd.DataFrame([(g, t, *x) for (g, t), x in out.items()], columns=["group_id", "token", "places", "scores"])
+
+    def named(frames):  # noqa: ANN001, ANN202
+        for pdf in frames:
+            yield pd.DataFrame([(g, k, t) for g, k, v in zip(pdf["group_id"], pdf["value_no"], pdf["value"]) for t in dict.fromkeys(tokens_of(v))], columns=["group_id", "value_no", "token"])
 
     def vote(frames):  # noqa: ANN001, ANN202
         for pdf in frames:
             out = []
-            for g, v, w, p in zip(pdf["group_id"], pdf["value"], pdf["weight"], pdf["profile"]):
+            for g, v, w, width, hits in zip(pdf["group_id"], pdf["value"], pdf["weight"], pdf["width"], pdf["hits"]):
                 own = tokens_of(v)
-                profile = [dict(c) for c in p]
-                out += [(g, i, own[j] if j is not None else "", w) for i, j in align(profile, [{t: 1.0} for t in own]) if i is not None]
+                agree = [[DIFFERENT] * len(own) for _ in range(width)]
+                at: dict[str, list[int]] = {}
+                for j, t in enumerate(own):
+                    at.setdefault(t, []).append(j)
+                for hit in hits if hits is not None else ():
+                    for i, score in zip(hit["places"], hit["scores"]):
+                        for j in at[hit["token"]]:
+                            agree[i][j] = float(score)
+                out += [(g, i, own[j] if j is not None else "", w) for i, j in best_path(agree, len(own)) if i is not None]
             yield pd.DataFrame(out, columns=["group_id", "place", "token", "weight"])
 
-    joined = values.join(guide.df.select("group_id", "profile"), "group_id")
+    side = guide.select("group_id", "profile").mapInPandas(entries, "group_id bigint, token string, places array<int>, scores array<double>")
+    tokens = values.select("group_id", "value_no", "value").mapInPandas(named, "group_id bigint, value_no bigint, token string")
+    hits = tokens.join(side, ["group_id", "token"]).groupBy("value_no").agg(F.collect_list(F.struct("token", "places", "scores")).alias("hits"))
+    joined = values.join(hits, "value_no", "left").join(guide.select("group_id", F.size("profile").alias("width")), "group_id").select("group_id", "value", "weight", "width", "hits")
     votes = joined.mapInPandas(vote, "group_id bigint, place int, token string, weight double").groupBy("group_id", "place", "token").agg(F.sum("weight").alias("weight"))
     winner = votes.groupBy("group_id", "place").agg(F.min(F.struct((-F.col("weight")).alias("w"), "token")).alias("best"))
     # a place per column of the guide, so the list is as long as the group's longest value
     said = winner.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("best.token").alias("token")))), lambda x: x["token"]), "").alias("consensus"))
-    said = guide.df.select("group_id").distinct().join(said, "group_id", "left").select("group_id", F.coalesce("consensus", F.lit("")).alias("consensus"))
+    said = guide.select("group_id").distinct().join(said, "group_id", "left").select("group_id", F.coalesce("consensus", F.lit("")).alias("consensus"))
 
     def edits(frames):  # noqa: ANN001, ANN202
         for pdf in frames:
             yield pdf.assign(d=[token_distance(tokens_of(v), tokens_of(c)) for v, c in zip(pdf["value"], pdf["consensus"])])
 
-    near = values.join(said, "group_id").mapInPandas(edits, "group_id bigint, value string, weight double, consensus string, d int")
+    near = values.drop("value_no").join(said, "group_id").mapInPandas(edits, "group_id bigint, value string, weight double, consensus string, d int")
     best = near.groupBy("group_id", "consensus").agg(F.min(F.struct("d", (-F.col("weight")).alias("w"), "value")).alias("best"))
     return best.select("group_id", "consensus", F.col("best.value").alias("value"))
 

@@ -133,6 +133,49 @@ def test_alignment():
     assert survivors.token_distance(list("abc"), list("axc")) == 1 and survivors.token_distance([], list("ab")) == 2
 
 
+def test_alignment_to_nothing():
+    assert survivors.align([{"a": 1.0}] * 9, []) == [(i, None) for i in range(9)]
+    assert survivors.align([], [{"a": 1.0}] * 9) == [(None, j) for j in range(9)]
+
+
+def test_columns_keep_every_token():
+    p = survivors.progressive([[{t: 1.0} for t in ("a", "/", f"t{i}")] for i in range(100)])
+    assert [len(c) for c in p] == [1, 1, 100]
+
+
+def _consensus(weights):
+    """The algorithm over one chunk with whole profiles carried to every value; weights by value."""
+    cut = {v: survivors.tokens_of(v) for v in weights}
+    profiles = sorted(([{t: weights[v] + 1e-9} for t in cut[v]] for v in weights), key=lambda p: (-max((sum(c.values()) for c in p), default=0.0), len(p), repr(p)))
+    guide = profiles[0]
+    for p in profiles[1:]:
+        sums = []
+        for i, j in survivors.align(guide, p):
+            a, b = guide[i] if i is not None else {}, p[j] if j is not None else {}
+            sums.append({t: a.get(t, 0.0) + b.get(t, 0.0) for t in [*a, *(t for t in b if t not in a)]})
+        guide = sums
+    votes = [{} for _ in guide]
+    for v, w in weights.items():
+        for i, j in survivors.align(guide, [{t: 1.0} for t in cut[v]]):
+            if i is not None:
+                t = cut[v][j] if j is not None else ""
+                votes[i][t] = votes[i].get(t, 0) + w
+    said = "".join(min(c, key=lambda t: (-c[t], t)) for c in votes)
+    return said, min(weights, key=lambda v: (survivors.token_distance(cut[v], survivors.tokens_of(said)), -weights[v], v))
+
+
+def test_consensus_of_wide_columns(rows):
+    rnd = random.Random(8)
+    groups = {}
+    for g in range(8):
+        word = lambda k: f"w{rnd.randrange(k)}"
+        make = lambda: "/".join([rnd.choice(["lib", "srv"]), *(word(90) for _ in range(rnd.randrange(1, 4)))]) + rnd.choice([f" {word(120)}", f" - {word(60)} {word(120)}", ""]) + rnd.choice([".jpg", ".png"])
+        groups[g] = {make(): rnd.randrange(1, 3) for _ in range(200)} | ({"": 1} if g == 0 else {})
+    t = rows([(g, v, w) for g, x in groups.items() for v, w in x.items()], "group_id bigint, value string, weight bigint")
+    out = {r.group_id: (r.consensus, r.value) for r in survivors.consensus_values(t, chunk=1000).collect()}
+    assert out == {g: _consensus(x) for g, x in groups.items()}
+
+
 BATCHES = [(0, 0, 100), (1, 100, 200), (2, 200, 300)]
 
 
