@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,7 @@ class PrefixIndex:
     """Inverted index of fingerprints' rare-token prefixes, on disk, partitioned by token.
 
     A posting is (bucket, bits, stamp): the fingerprint under one of its prefix tokens, and the
-    number of the batch that brought it first. Tokens are ordered by how rare they were in the batch
+    number of the batch that brought it first; content hashes are kept likewise. Tokens are ordered by how rare they were in the batch
     that founded the index; the order is stored with it and never changes, as a prefix filter needs;
     nor does the limit above which a token's bucket is cut by the next shared token. Postings are kept
     uncut beyond that; probe() cuts what is too large, postings and probes by one count.
@@ -48,48 +50,80 @@ class PrefixIndex:
     def append(self, fingerprints: DataFrame) -> None:
         """Add postings of distinct fingerprints: bits and stamp."""
         postings = self._routed(fingerprints, "stamp").select("bucket", "bits", F.col("extra").cast("int").alias("stamp"))
-        slot = F.pmod(F.hash("bucket"), F.lit(SLOTS))
-        postings.withColumn("slot", slot).repartition(SLOTS, "slot").sortWithinPartitions("slot", "bucket").write.mode("append").partitionBy("slot").option("compression", "zstd").parquet(f"{self.path}/postings")
+        self._add(postings, "bucket", "postings")
+
+    def append_hashes(self, hashes: DataFrame) -> None:
+        """Add distinct content hashes: hash and stamp."""
+        self._add(hashes.select("hash", F.col("stamp").cast("int").alias("stamp")), "hash", "hashes")
+
+    def _add(self, rows: DataFrame, key: str, part: str) -> None:
+        rows.withColumn("slot", _slot(key)).repartition(SLOTS, "slot").sortWithinPartitions("slot", key).write.mode("append").partitionBy("slot").option("compression", "zstd").parquet(f"{self.path}/{part}")
+
+    def _named(self, part: str, schema: str, key: str, asking: DataFrame) -> DataFrame:
+        """Rows of the index in the slots that the asking rows' keys fall in; other slots' files are not opened."""
+        slots = [r["slot"] for r in asking.select(_slot(key).alias("slot")).distinct().collect()]
+        return self.spark.read.schema(f"{schema}, slot int").parquet(f"{self.path}/{part}").where(F.col("slot").isin(slots)).drop("slot")
+
+    def postings_for(self, probes: DataFrame) -> DataFrame:
+        """(bucket, bits, stamp) of the buckets that the probes are in. Buckets are parts' values or pairs of them, few enough to broadcast."""
+        return self._named("postings", "bucket bigint, bits bigint, stamp int", "bucket", probes).join(F.broadcast(probes.select("bucket").distinct()), "bucket", "left_semi")
+
+    def known_hashes(self, hashes: DataFrame) -> DataFrame:
+        """(hash) of the distinct hashes asked for that the index holds."""
+        return hashes.select("hash").join(self._named("hashes", "hash binary, stamp int", "hash", hashes), "hash", "left_semi")
 
     def probe(self, fingerprints: DataFrame) -> DataFrame:
-        """(bits, first): the smallest stamp among postings within the radius, of the fingerprints that have one below their own `stamp`.
+        """(bits, first, known): the smallest stamp among postings within the radius, of the fingerprints that have one below their own `stamp`; known if one of these is equal.
 
-        fingerprints: distinct bits, and stamp, the latest batch that asks; only postings of earlier
-        stamps count, so one call may probe several batches that are all in the index already.
+        fingerprints: distinct bits, and stamp, the batch that asks; only postings of earlier stamps
+        count. Only postings of buckets that a fingerprint is in are shuffled, and only fingerprints
+        and postings are compared, not postings with each other.
         """
         parts, _, counts = self._order()
         rank = hamming.ranks(counts, parts)
-        postings = self.spark.read.schema("bucket bigint, bits bigint, stamp int, slot int").parquet(f"{self.path}/postings").select("bucket", "bits", (F.col("stamp").cast("bigint") * 2).alias("extra"))
-        probes = self._routed(fingerprints, "stamp").withColumn("extra", F.col("extra") * 2 + 1)
+        probes = Written(self._routed(fingerprints, "stamp").withColumn("extra", F.col("extra") * 2 + 1), "probes").df
+        postings = self.postings_for(probes).select("bucket", "bits", (F.col("stamp").cast("bigint") * 2).alias("extra"))
         radius = self.radius
 
         def work(bucket: int, bits: np.ndarray, extra: np.ndarray) -> pa.RecordBatch | None:
+            first = np.argsort(extra & 1 ^ 1, kind="stable")  # who asks comes first, in each run too
+            bits, extra = bits[first], extra[first]
             asks, stamp = (extra & 1) == 1, (extra >> 1).astype(np.int32)
             if not asks.any() or asks.all():
                 return None
             best = np.full(len(bits), np.iinfo(np.int32).max, np.int32)
+            known = np.zeros(len(bits), bool)
             for rows, starts, lengths in hamming.runs_of(bucket, bits, parts, radius, rank):
-                at = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                left = np.repeat(starts + lengths, lengths) - at - 1
-                x, a, s, own = bits[rows[at]].view(np.uint64), asks[rows[at]], stamp[rows[at]], rows[at]
-                live = np.flatnonzero(left > 0)
-                for lag in range(1, int(lengths.max())):
-                    live = live[left[live] >= lag]
-                    other = live + lag
-                    near = np.bitwise_count(x[live] ^ x[other]) <= radius
-                    i, j = live[near], other[near]
-                    for p, q in ((i, j), (j, i)):
-                        good = a[p] & ~a[q] & (s[q] < s[p])
-                        np.minimum.at(best, own[p[good]], s[q[good]])
+                before = np.concatenate(([0], np.cumsum(asks[rows])))
+                asking = before[starts + lengths] - before[starts]
+                both = (asking > 0) & (asking < lengths)
+                starts, asking, stored = starts[both], asking[both], (lengths - asking)[both]
+                if not len(starts):
+                    continue
+                at = np.repeat(starts, asking) + np.arange(asking.sum()) - np.repeat(np.cumsum(asking) - asking, asking)
+                base, left = np.repeat(starts + asking, asking), np.repeat(stored, asking)
+                x, s = bits[rows].view(np.uint64), stamp[rows]
+                live = np.arange(len(at))
+                for lag in range(int(stored.max())):
+                    live = live[left[live] > lag]
+                    p, q = at[live], base[live] + lag
+                    d = np.bitwise_count(x[p] ^ x[q])
+                    good = np.flatnonzero((d <= radius) & (s[q] < s[p]))
+                    np.minimum.at(best, rows[p[good]], s[q[good]])
+                    known[rows[p[good[d[good] == 0]]]] = True
             hit = np.flatnonzero(asks & (best < stamp))
             if not len(hit):
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(bits[hit]), pa.array(best[hit])], ["bits", "first"])
+            return pa.RecordBatch.from_arrays([pa.array(bits[hit]), pa.array(best[hit]), pa.array(known[hit])], ["bits", "first", "known"])
 
         postings, probes = hamming.in_blocks(postings, probes, self.limit)
         both = postings.unionByName(probes).repartition(shuffle_partitions(self.spark), "bucket").sortWithinPartitions("bucket")
-        near = both.mapInArrow(hamming.by_bucket(work), "bits bigint, first int")
-        return near.groupBy("bits").agg(F.min("first").alias("first"))
+        near = both.mapInArrow(hamming.by_bucket(work), "bits bigint, first int, known boolean")
+        return near.groupBy("bits").agg(F.min("first").alias("first"), F.max("known").alias("known"))
+
+
+def _slot(key: str) -> Column:
+    return F.pmod(F.hash(key), F.lit(SLOTS))
 
 
 def batch_of(scanned_at: Column, batches: DataFrame) -> Column:
@@ -116,28 +150,39 @@ def batch_files(files: DataFrame, batches: DataFrame) -> DataFrame:
 def repeats_of_earlier(rows: DataFrame, index: PrefixIndex, history: int = 0) -> DataFrame:
     """(file_id) of the rows (id, batch, hash, bits) that repeat an earlier batch's hash or come near its fingerprint.
 
-    The history batch founds the index, the later ones are appended; then every fingerprint that a
-    later batch holds is probed once. A file counts if a posting near it has a smaller batch number,
-    which is the result of probing each batch before it is appended. Equal hashes and fingerprints
-    are one row each before anything is joined, so hot values cost one row. Rows without a hash are
-    judged by the fingerprint alone and the other way round; rows of the first batch never count.
+    The history founds the index; then each later batch, in order, probes it and is appended. The
+    work for a batch is its own rows and the buckets and slots of the index that they name. Equal
+    hashes and fingerprints are one row each before anything is joined, so hot values cost one row,
+    and what the index holds already isn't added again. Rows without a hash are judged by the
+    fingerprint alone and the other way round; rows of the first batch never count.
     """
-    seen = Written(rows.where(F.col("bits").isNotNull()).groupBy("bits").agg(F.min("batch").cast("bigint").alias("stamp"), F.max("batch").cast("bigint").alias("last")), "fingerprints").df
-    old = seen.where(F.col("stamp") <= history).select("bits", "stamp")
-    index.found(old, old.count())
-    index.append(seen.select("bits", "stamp"))
-    near = index.probe(seen.where(F.col("last") > history).select("bits", F.col("last").alias("stamp")))
-    # a fingerprint's own first batch counts as well
-    first = seen.where(F.col("last") > F.col("stamp")).select("bits", F.col("stamp").cast("int").alias("first")).unionByName(near).groupBy("bits").agg(F.min("first").alias("first"))
+    prints = lambda df: df.where(F.col("bits").isNotNull()).groupBy("bits").agg(F.min("batch").cast("bigint").alias("stamp"))
+    hashes = lambda df: df.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("batch").cast("bigint").alias("stamp"))
+    old = rows.where(F.col("batch") <= history)
+    old_prints = Written(prints(old), "fingerprints").df
+    index.found(old_prints, old_prints.count())
+    index.append(old_prints)
+    index.append_hashes(hashes(old))
+    near, same = [], []
+    later = sorted(r["batch"] for r in rows.where(F.col("batch") > history).select("batch").distinct().collect())
+    for n in later:
+        batch = rows.where(F.col("batch") == n)
+        new, new_hashes = Written(prints(batch), "fingerprints").df, Written(hashes(batch), "hashes").df
+        close, held = Written(index.probe(new), "near").df, Written(index.known_hashes(new_hashes), "same").df
+        near.append(close.select("bits", F.lit(n).alias("batch")))
+        same.append(held.select("hash", F.lit(n).alias("batch")))
+        index.append(new.join(close.where("known"), "bits", "left_anti"))
+        index.append_hashes(new_hashes.join(held, "hash", "left_anti"))
+    if not later:
+        return rows.where("false").select(F.col("id").alias("file_id"))
     late = rows.where(F.col("batch") > history)
-    by_print = late.where(F.col("bits").isNotNull()).select("id", "batch", "bits").join(first, "bits").where("first < batch").select("id")
-    hashes = rows.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("batch").alias("first"), F.max("batch").alias("last")).where("last > first").select("hash", "first")
-    by_hash = late.where(F.col("hash").isNotNull()).select("id", "batch", "hash").join(hashes, "hash").where("first < batch").select("id")
+    by_print = late.select("id", "batch", "bits").join(reduce(DataFrame.unionByName, near), ["bits", "batch"]).select("id")
+    by_hash = late.select("id", "batch", "hash").join(reduce(DataFrame.unionByName, same), ["hash", "batch"]).select("id")
     return by_print.unionByName(by_hash).distinct().select(F.col("id").alias("file_id"))
 
 
 def repeated_files(files: DataFrame, batches: DataFrame, radius: int = 6) -> DataFrame:
     spark = files.sparkSession
-    rows = Written(batch_files(files, batches), "batch-files")
+    rows = Written(batch_files(files, batches).sortWithinPartitions("batch"), "batch-files")
     index = PrefixIndex(spark, f"{shared_dir(spark)}/prefix-index-{rows.path.rpartition('-')[2]}", radius)
     return repeats_of_earlier(rows.df, index)

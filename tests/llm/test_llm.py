@@ -232,6 +232,30 @@ def test_probes_meet_every_posting_of_a_large_bucket(spark, rows, counts):
     assert near == {x for x in new if any(bin(x ^ y).count("1") <= 6 for y in old)} and set(far) <= near
 
 
+def test_batches_are_probed_and_appended_one_by_one(spark, rows):
+    calls = []
+
+    class Recorded(increments.PrefixIndex):
+        def append(self, fingerprints):
+            calls.append(("append", sorted(r.bits for r in fingerprints.select("bits").collect())))
+            super().append(fingerprints)
+
+        def probe(self, fingerprints):
+            calls.append(("probe", sorted(r.bits for r in fingerprints.select("bits").collect())))
+            return super().probe(fingerprints)
+
+    a, b, c = 0x0123456789ABCDEF, 0x7EDCBA9876543210, 0x00FF00FF00FF00FF
+    t = rows([(1, 0, None, a), (2, 0, b"x", b), (3, 1, b"y", a), (4, 1, None, c), (5, 2, b"y", c ^ 3), (6, 2, b"x", None)], "id bigint, batch int, hash binary, bits bigint")
+    index = Recorded(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    assert {r.file_id for r in increments.repeats_of_earlier(t, index).collect()} == {3, 5, 6}
+    # a of batch 1 is in the index already
+    assert calls == [("append", [a, b]), ("probe", sorted([a, c])), ("append", [c]), ("probe", [c ^ 3]), ("append", [c ^ 3])]
+    assert sorted(bytes(r.hash) for r in spark.read.parquet(f"{index.path}/hashes").collect()) == [b"x", b"y"]
+    probes = index._routed(rows([(c, 3)], "bits bigint, stamp bigint"), "stamp")
+    met = {r.bucket for r in index.postings_for(probes).collect()}
+    assert met and met <= {r.bucket for r in probes.collect()}
+
+
 def test_repeated_files_of_nothing(rows, files):
     batches = rows(BATCHES, "batch_no int, batch_start bigint, batch_end bigint")
     assert increments.repeated_files(files(), batches).count() == 0
