@@ -14,21 +14,36 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 64
-#: Parts are numbered in four bits; a radius of 15 is the greatest that still leaves a shared part.
-MOST_PARTS = 16
+#: Parts are numbered in five bits, values of a part in sixteen.
+LEAST_PARTS, MOST_PARTS, T_BITS = 4, 32, 21
+#: Blocks that one bucket is cut into at most, by the bits left for their number; beyond it blocks grow.
+MOST_BLOCKS = 1000
+#: What comparing two fingerprints costs, against sorting one.
+COMPARE = 0.05
 
 
 def plan_parts(rows: int, radius: int) -> int:
-    """Number of parts: the more fingerprints, the more shared tokens a block asks for, so that blocks stay small."""
-    need = 2 if rows < 2_000_000 else 3 if rows < 100_000_000 else 4
-    return min(radius + need, MOST_PARTS)
+    """Number of parts for that many fingerprints.
+
+    More parts mean that a pair shares more of them, so that more is sorted and less compared; the
+    sum of the two, for fingerprints without order, decides. Any number of parts loses nothing.
+    """
+    if not 0 <= radius <= MOST_PARTS - 2:
+        raise ValueError(f"a radius of {radius} bits can't be searched by shared parts")
+
+    def cost(parts: int) -> float:
+        need = parts - radius
+        return rows * (radius + 1) * comb(parts - 1, need - 1) + COMPARE * comb(parts, need) * rows**2 / 2 ** (BITS * need / parts)
+
+    return min(range(max(radius + 2, LEAST_PARTS), min(radius + 9, MOST_PARTS + 1)), key=cost)
 
 
 def bounds(parts: int) -> list[tuple[int, int]]:
@@ -53,7 +68,6 @@ def token_counts(fingerprints: DataFrame, parts: int) -> dict[int, int]:
         t = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(total[t])], ["token", "n"])
 
-    assert max(w for _, w in bounds(parts)) <= 16
     counted = fingerprints.select("bits").mapInArrow(count, "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     return {r["token"]: r["n"] for r in counted.collect()}
 
@@ -67,25 +81,22 @@ def ranks(counts: dict[int, int], parts: int) -> np.ndarray:
     return rank
 
 
-T_BITS = 20  # a token is below 16 << 16
-
-
-def route(fingerprints: DataFrame, payload: str, parts: int, radius: int, counts: dict[int, int], limit: int = 100_000) -> DataFrame:
-    """Each fingerprint once per bucket: bucket, bits and the payload column (a bigint).
+def route(fingerprints: DataFrame, payload: list[str], parts: int, radius: int, counts: dict[int, int], limit: int = 100_000, blocked: bool = True) -> DataFrame:
+    """Each fingerprint once per bucket: bucket, bits and the payload columns (bigints, none of them null).
 
     bucket is the prefix token. In buckets of more than `limit` fingerprints it also holds the next
     shared token, and the fingerprints go to each such smaller bucket; one that is still too large is
     cut into blocks by a hash of the fingerprint, and they go to every pair of blocks that has theirs.
-    So no task gets more than about twice the limit, and no pair is lost.
+    So no task gets more than about twice the limit, and no pair is lost. The number of blocks comes
+    from these fingerprints alone; where two inputs are to meet, `blocked` is False for both, no
+    smaller bucket is cut, and in_blocks() cuts the two by one count.
     """
-    need = parts - radius
-    if need < 1:
-        raise ValueError(f"a radius of {radius} bits leaves no shared part among {parts}")
-    prefix = parts - need + 1
+    if not radius + 2 <= parts <= MOST_PARTS or parts < LEAST_PARTS:
+        raise ValueError(f"{parts} parts don't do for a radius of {radius}")
+    prefix = radius + 1
     rank = ranks(counts, parts)
     large = np.zeros(parts << 16, bool)
-    if need > 1:
-        large[[t for t, n in counts.items() if n > limit]] = True
+    large[[t for t, n in counts.items() if n > limit]] = True
     any_large = bool(large.any())
 
     def spreading(blocks: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -94,14 +105,14 @@ def route(fingerprints: DataFrame, payload: str, parts: int, radius: int, counts
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                bits, extra = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                bits, *extra = (c.to_numpy(zero_copy_only=False) for c in b.columns)
                 t = tokens(bits, parts)
                 t = np.take_along_axis(t, np.argsort(rank[t], axis=1), axis=1).astype(np.int64)
                 for k in range(prefix):
                     cut = large[t[:, k]] if any_large else None
                     keep = np.arange(len(bits)) if cut is None else np.flatnonzero(~cut)
                     if len(keep):
-                        yield _batch(t[keep, k], bits[keep], extra[keep])
+                        yield _batch(t[keep, k], bits[keep], [x[keep] for x in extra])
                     if cut is None or not cut.any():
                         continue
                     rows = np.flatnonzero(cut)
@@ -114,21 +125,40 @@ def route(fingerprints: DataFrame, payload: str, parts: int, radius: int, counts
                             has = np.flatnonzero(other < n)
                             lo, hi = np.minimum(own[has], other), np.maximum(own[has], other)
                             pair = hi * (hi + 1) // 2 + lo
-                            yield _batch(bucket[has] | pair << (2 * T_BITS + 1), bits[rows[has]], extra[rows[has]])
+                            yield _batch(bucket[has] | pair << (2 * T_BITS + 1), bits[rows[has]], [x[rows[has]] for x in extra])
 
         return spread
 
-    schema = "bucket bigint, bits bigint, extra bigint"
-    source = fingerprints.select("bits", F.col(payload).alias("extra"))
+    _batch = lambda bucket, bits, extra: pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, bits, *extra)], ["bucket", "bits", *payload])
+    schema = "bucket bigint, bits bigint" + "".join(f", {c} bigint" for c in payload)
+    source = fingerprints.select("bits", *payload)
     blocks: dict[int, int] = {}
-    if any_large:
+    if any_large and blocked:
         sizes = source.mapInArrow(spreading({}), schema).where(F.col("bucket") >= 1 << T_BITS).groupBy("bucket").count().where(F.col("count") > limit)
-        blocks = {r["bucket"]: -(-r["count"] // limit) for r in sizes.collect()}
+        # fewer rows than one in `limit` fingerprints times the pairs of parts
+        blocks = {r["bucket"]: min(-(-r["count"] // limit), MOST_BLOCKS) for r in sizes.collect()}
     return source.mapInArrow(spreading(blocks), schema)
 
 
-def _batch(bucket: np.ndarray, bits: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(bits), pa.array(extra)], ["bucket", "bits", "extra"])
+def in_blocks(stored: DataFrame, asking: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Both inputs (bucket, bits, ...), uncut, with every bucket of more than `limit` rows cut into blocks in which each stored row meets each asking row once.
+
+    A bucket of n times the limit stored and m times the limit asking rows has n * m blocks; a stored
+    row goes to the m blocks of its part, an asking row to the n blocks of its own. Sizes are of
+    what is there now, so that rows stored at different times, in whatever numbers, fit together.
+    """
+    sizes = stored.select("bucket", F.lit(1).alias("s"), F.lit(0).alias("a")).unionByName(asking.select("bucket", F.lit(0).alias("s"), F.lit(1).alias("a")))
+    over = sizes.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("a").alias("a")).where((F.col("s") > 0) & (F.col("a") > 0) & ((F.col("s") > limit) | (F.col("a") > limit))).collect()
+    if not over:
+        return stored, asking
+    cuts = F.broadcast(stored.sparkSession.createDataFrame([(r["bucket"], min(-(-r["s"] // limit), MOST_BLOCKS), min(-(-r["a"] // limit), MOST_BLOCKS)) for r in over], "bucket bigint, n bigint, m bigint"))
+    n, m, other = F.coalesce("n", F.lit(1)), F.coalesce("m", F.lit(1)), F.col("other")
+
+    def cut(df: DataFrame, own: Column, others: Column, block: Callable[[Column], Column]) -> DataFrame:
+        spread = df.join(cuts, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("bits"), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)))
+        return spread.withColumn("bucket", F.col("bucket").bitwiseOR(F.shiftleft(block(F.col("own")), 2 * T_BITS + 1))).select(df.columns)
+
+    return cut(stored, n, m, lambda own: own * m + other), cut(asking, m, n, lambda own: other * m + own)
 
 
 def runs_of(bucket: int, bits: np.ndarray, parts: int, radius: int, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -138,6 +168,7 @@ def runs_of(bucket: int, bits: np.ndarray, parts: int, radius: int, rank: np.nda
     t = tokens(bits, parts)
     later = rank[t] > rank[first]
     others = [k for k in range(parts) if k != first >> 16]
+    widths = [w for _, w in bounds(parts)]
     fixed = [] if second < 0 else [second >> 16]
     for chosen in combinations(others, need - 1):
         if fixed and fixed[0] not in chosen:
@@ -147,7 +178,7 @@ def runs_of(bucket: int, bits: np.ndarray, parts: int, radius: int, rank: np.nda
             continue
         key = np.zeros(len(ok), np.int64)
         for k in chosen:
-            key = key << 16 | (t[ok, k] & 0xFFFF)
+            key = key << widths[k] | (t[ok, k] & 0xFFFF)
         order = np.argsort(key.astype(np.uint16) if len(chosen) < 2 else key, kind="stable")
         key = key[order]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -157,26 +188,57 @@ def runs_of(bucket: int, bits: np.ndarray, parts: int, radius: int, rank: np.nda
             yield ok[order], starts[keep], lengths[keep]
 
 
-def by_bucket(work: Callable[[int, np.ndarray, np.ndarray], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Calls work(bucket, bits, extra) for every bucket of a partition that is sorted by bucket."""
+def pairs_of_runs(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within each run, lag by lag, so that no more than one pair per row is held at a time."""
+    at = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = np.repeat(starts + lengths, lengths) - at - 1
+    live = np.arange(len(at))
+    for lag in range(1, int(lengths.max())):
+        live = live[left[live] >= lag]
+        yield rows[at[live]], rows[at[live] + lag]
+
+
+class Forest:
+    """Components of n rows, grown by chunks of edges; of the edges given only those come back that join two trees."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def joining(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Places of the edges that joined trees: a spanning forest of all edges so far, never more than n - 1 in total."""
+        kept, live = [], np.arange(len(p))
+        while True:
+            a, b = self.root[p[live]], self.root[q[live]]
+            apart = a != b
+            live, low, high = live[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            if not len(live):
+                return np.concatenate(kept) if kept else np.empty(0, np.int64)
+            which, first = np.unique(high, return_index=True)
+            self.root[which] = low[first]
+            kept.append(live[first])
+            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = up
+
+
+def by_bucket(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Yields from work(bucket, bits, *payload) for every bucket of a partition that is sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         now: int | None = None
         for b in batches:
-            bucket, bits, extra = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            bucket, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
             for a, z in zip([0, *cuts], [*cuts, len(bucket)]):
                 if a == z:
                     continue
                 if now is not None and bucket[a] != now:
-                    if (out := work(now, *map(np.concatenate, zip(*held)))) is not None:
-                        yield out
+                    yield from work(now, *map(np.concatenate, zip(*held)))
                     held = []
                 now = int(bucket[a])
-                held.append((bits[a:z], extra[a:z]))
-        if held and (out := work(now, *map(np.concatenate, zip(*held)))) is not None:
-            yield out
+                held.append([x[a:z] for x in rest])
+        if held:
+            yield from work(now, *map(np.concatenate, zip(*held)))
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,36 +25,57 @@ def visual_records(files: DataFrame) -> DataFrame:
     return rows.select("id", from_hex(F.col("phash")).alias("bits"), "pid", page_of(stem(F.col("path"))).alias("page")).where("bits IS NOT NULL")
 
 
-def near_bits(bits: DataFrame, threshold: int, limit: int = 100_000) -> DataFrame:
-    """(a, b, distance) of distinct 64-bit numbers (column bits) that differ in at most threshold bits, a < b. No pair is missed."""
+def _routed(bits: DataFrame, payload: list[str], threshold: int, limit: int) -> tuple[DataFrame, int, np.ndarray]:
     parts = blocks.plan_parts(bits.count(), threshold)
     counts = blocks.token_counts(bits, parts)
-    rank = blocks.ranks(counts, parts)
-    routed = blocks.route(bits.withColumn("extra", F.lit(0).cast("bigint")), "extra", parts, threshold, counts, limit)
-    routed = routed.repartition(shuffle_partitions(bits.sparkSession), "bucket").sortWithinPartitions("bucket")
+    routed = blocks.route(bits, payload, parts, threshold, counts, limit)
+    return routed.repartition(shuffle_partitions(bits.sparkSession), "bucket").sortWithinPartitions("bucket"), parts, blocks.ranks(counts, parts)
+
+
+def near_bits(bits: DataFrame, threshold: int, limit: int = 100_000) -> DataFrame:
+    """(a, b, distance) of distinct 64-bit numbers (column bits) that differ in at most threshold bits, a < b. No pair is missed.
 
-    def work(bucket: int, x: np.ndarray, _: np.ndarray) -> pa.RecordBatch | None:
-        found = []
+    The listing of pairs is the result here; near_forest() is for what needs only who hangs together.
+    """
+    routed, parts, rank = _routed(bits, [], threshold, limit)
+
+    def work(bucket: int, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         for rows, starts, lengths in blocks.runs_of(bucket, x, parts, threshold, rank):
-            at = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            left = np.repeat(starts + lengths, lengths) - at - 1
-            own = rows[at]
-            live = np.arange(len(at))
-            for lag in range(1, int(lengths.max())):
-                live = live[left[live] >= lag]
-                p, q = own[live], own[live + lag]
-                near = blocks.distance(x[p], x[q]) <= threshold
-                found.append((p[near], q[near]))
-        p, q = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
-        if not len(p):
-            return None
-        a, b = np.minimum(x[p], x[q]), np.maximum(x[p], x[q])
-        ab = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(blocks.distance(np.ascontiguousarray(ab[:, 0]), np.ascontiguousarray(ab[:, 1])))], ["a", "b", "distance"])
+            for p, q in blocks.pairs_of_runs(rows, starts, lengths):
+                d = blocks.distance(x[p], x[q])
+                near = np.flatnonzero(d <= threshold)
+                if len(near):
+                    u, v = x[p[near]], x[q[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d[near])], ["a", "b", "distance"])
 
     return routed.mapInArrow(blocks.by_bucket(work), "a bigint, b bigint, distance int").distinct()
 
 
+def near_forest(prints: DataFrame, threshold: int, limit: int = 100_000) -> DataFrame:
+    """(a, b) of near fingerprints that may link, enough of them to connect what all such pairs connect.
+
+    prints: distinct bits, and pid, page, plain (bigints, -1 for unknown). Two prints link unless both
+    have one known pid and different known pages. Of pairs of plain prints each bucket gives back
+    only a spanning forest, so a cluster of any density costs its rows and not its pairs; pairs with
+    a print that isn't plain all come back.
+    """
+    routed, parts, rank = _routed(prints, ["pid", "page", "plain"], threshold, limit)
+
+    def work(bucket: int, x: np.ndarray, pid: np.ndarray, page: np.ndarray, plain: np.ndarray) -> Iterator[pa.RecordBatch]:
+        forest = blocks.Forest(len(x))
+        for rows, starts, lengths in blocks.runs_of(bucket, x, parts, threshold, rank):
+            for p, q in blocks.pairs_of_runs(rows, starts, lengths):
+                near = blocks.distance(x[p], x[q]) <= threshold
+                both = (plain[p] == 1) & (plain[q] == 1)
+                clash = (pid[p] == pid[q]) & (pid[p] >= 0) & (page[p] != page[q]) & (page[p] >= 0) & (page[q] >= 0)
+                own, rest = np.flatnonzero(near & both & ~clash), np.flatnonzero(near & ~both)
+                take = np.concatenate((own[forest.joining(p[own], q[own])], rest))
+                if len(take):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[p[take]]), pa.array(x[q[take]])], ["a", "b"])
+
+    return routed.mapInArrow(blocks.by_bucket(work), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_links(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(id, other): links that connect exactly what all pairs within the threshold would.
 
@@ -62,7 +85,8 @@ def similar_links(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     of its work and can't conflict with r2, so with an r2 all classes of the fingerprint are
     connected by one link each, and without one none is. For two near fingerprints it is enough to
     link r1, or every class where there is no r2, to the other's r1 or r2, and equal pages of one
-    work with each other. So links grow with the records and never with pairs inside a fingerprint.
+    work with each other. So links grow with the records and never with pairs inside a fingerprint;
+    nor with pairs of near fingerprints, of which near_forest() gives a spanning forest per bucket.
     """
     classes = Written(records.groupBy("bits", "pid", "page").agg(F.min("id").alias("id")), "classes").df
     key = lambda c: F.struct(F.coalesce(c("pid"), F.lit(-1)), F.coalesce(c("page"), F.lit(-1)))
@@ -76,7 +100,11 @@ def similar_links(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     target = F.when(~clash("c", "r1"), F.col("r1.id")).when(F.col("r2").isNotNull() & ~clash("c", "r2"), F.col("r2.id"))
     inside = classes.join(heads, "bits").select("id", target.alias("other"), F.col("r1.id").alias("_r1"), F.col("r2.id").alias("_r2")).select("id", F.when(F.col("id") == F.col("_r1"), F.col("_r2")).otherwise(F.col("other")).alias("other"))
 
-    near = Written(near_bits(records.select("bits").distinct(), threshold).select("a", "b"), "near").df
+    # a print is plain if it is one class, or if all its classes hang together by r2
+    shape = classes.groupBy("bits").agg(F.count("*").alias("n")).join(heads, "bits")
+    known = lambda c: F.when(F.col("r2").isNull(), F.coalesce(F.col(f"r1.{c}").cast("bigint"), F.lit(-1))).otherwise(F.lit(-1)).alias(c)
+    prints = Written(shape.select("bits", known("pid"), known("page"), ((F.col("n") == 1) | F.col("r2").isNotNull()).cast("bigint").alias("plain")), "prints").df
+    near = Written(near_forest(prints, threshold), "near").df
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     speaks = classes.join(heads, "bits").where(F.col("r2").isNull() | (F.col("id") == F.col("r1.id"))).select(F.col("bits").alias("a"), "id", "pid", "page")
     across = both.join(speaks, "a").join(heads.withColumnRenamed("bits", "b"), "b").select("id", target.alias("other"))
@@ -137,3 +165,10 @@ def similar_groups(files: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     first = kept.where("id <> keep_id").groupBy("root", "keep_id").agg(F.min("distance").alias("first"))
     order = numbered(first, [F.col("first").asc(), F.col("keep_id").asc()], "group_no")
     return kept.select("root", F.col("id").alias("file_id"), "distance").join(order.select("root", "keep_id", "group_no"), "root").select("group_no", "keep_id", "file_id", F.col("distance").cast("bigint").alias("distance"))
+
+
+def recorded_groups(files: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """dup_groups and dup_members as a rebuild writes them for near duplicates, the keeper among the members at distance 0."""
+    found = Written(similar_groups(files, threshold), "similar").df
+    groups = found.select(F.col("group_no").alias("id"), F.lit("similar").alias("kind"), F.col("keep_id").alias("keep_file_id")).distinct()
+    return groups, found.select(F.col("group_no").alias("group_id"), "file_id", "distance")
