@@ -21,9 +21,10 @@ def _ranged(df: DataFrame, order: list[Column], columns: list[str], value: Colum
     for part in range(n):
         before[part] = at
         at += sums.get(part, 0)
-    offset = F.element_at(F.array(*(F.lit(int(before[p])).cast("bigint") for p in range(n))), F.col("_part") + 1)
+    # one row per partition
+    offsets = df.sparkSession.createDataFrame([(p, int(x)) for p, x in before.items()], "_part int, _offset bigint")
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn(total, F.sum("_value").over(w) + offset).select(*columns, total)
+    return placed.withColumn(total, F.sum("_value").over(w)).join(F.broadcast(offsets), "_part").withColumn(total, F.col(total) + F.col("_offset")).select(*columns, total)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
