@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANK = r"[\s\p{Z}]"
+#: How a work id is written in a file name, tagged and bare.
 _TAGGED = rf"(?i)pid{_BLANK}*={_BLANK}*(\d{{5,12}})"
 _BARE = r"(?:^|[^0-9])(\d{5,12})(?:[^0-9]|$)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 HASH_SIDE, KEPT, GRAY_SIDE = 32, 8, 64
 
@@ -59,21 +60,20 @@ def gray_score(rgb: np.ndarray) -> float:
     return nearest_rank((small.max(axis=2) - small.min(axis=2)).ravel(), 95.0)
 
 
-def _rgb(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
-    """RGB of the image source's bytes, which are gray, BGR or BGRA."""
-    x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+def rgb_of(height: float | None, width: float | None, channels: float | None, data: bytes | None) -> np.ndarray | None:
+    """RGB of the image source's bytes, which are gray, BGR or BGRA; None if it couldn't decode them."""
+    if data is None or height is None or not height > 0 or channels not in (1, 3, 4):
+        return None
+    x = np.frombuffer(data, np.uint8).reshape(int(height), int(width), int(channels))
     return np.repeat(x, 3, axis=2) if channels == 1 else x[:, :, 2::-1]
 
 
-@F.pandas_udf("phash string, gray_score double, decode_error string")
+@F.pandas_udf(StructType([StructField("phash", StringType()), StructField("gray_score", DoubleType()), StructField("decode_error", StringType())]))
 def _fingerprint(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
     out = []
     for h, w, c, b in zip(height, width, channels, data):
-        if h is None or h <= 0 or c not in (1, 3, 4):
-            out.append((None, None, "cannot be decoded"))
-            continue
-        rgb = _rgb(int(h), int(w), int(c), b)
-        out.append((f"{phash(rgb):016x}", gray_score(rgb), None))
+        rgb = rgb_of(h, w, c, b)
+        out.append((None, None, "cannot be decoded") if rgb is None else (f"{phash(rgb):016x}", gray_score(rgb), None))
     return pd.DataFrame(out, columns=["phash", "gray_score", "decode_error"])
 
 

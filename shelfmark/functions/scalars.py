@@ -1,4 +1,4 @@
-"""Numbers of fingerprints and dimensions, and their wording. Built-in functions only."""
+"""Numbers of fingerprints and dimensions, and their wording, whose units and phrases are fixed values. Built-in functions only."""
 
 from __future__ import annotations
 

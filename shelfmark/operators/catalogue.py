@@ -28,9 +28,30 @@ def scan_difference(scanned: DataFrame, known: DataFrame) -> DataFrame:
     return scanned.join(k, "path", "left").withColumn("change", change).select(*scanned.columns, "change")
 
 
-def scan_stats(difference: DataFrame) -> DataFrame:
-    """seen, inserted, updated, skipped, failed in one row."""
-    return difference.agg(F.count("*").alias("seen"), *(F.count_if(F.col("change") == c).alias(c) for c in ("inserted", "updated", "skipped", "failed")))
+def scan_stats(difference: DataFrame, cancelled: bool = False) -> DataFrame:
+    """seen, inserted, updated, skipped, failed, and whether the scan was broken off, in one row."""
+    return difference.agg(F.count("*").alias("seen"), *(F.count_if(F.col("change") == c).alias(c) for c in ("inserted", "updated", "skipped", "failed"))).withColumn("cancelled", F.lit(cancelled))
+
+
+def hash_stats(candidates: DataFrame, hashed: DataFrame) -> DataFrame:
+    """groups (sizes that several files share), hashed and failed of one hashing run.
+
+    candidates: rows of size_candidates(). hashed: content_hash of each file that was read, null
+    where it couldn't be.
+    """
+    groups = candidates.agg(F.count_distinct("size").alias("groups"))
+    done = hashed.agg(F.count("content_hash").alias("hashed"), F.count_if(F.col("content_hash").isNull()).alias("failed"))
+    # two rows of totals
+    return groups.join(F.broadcast(done))
+
+
+def visual_stats(prints: DataFrame, before: DataFrame) -> DataFrame:
+    """total, done, failed of one fingerprinting run (rows with phash or decode_error), and skipped: the catalogue's rows that have a fingerprint after it.
+
+    before: the catalogue as the run found it.
+    """
+    run = prints.agg(F.count("*").alias("total"), F.count("phash").alias("done"), F.count_if(F.col("phash").isNull()).alias("failed"))
+    return run.join(F.broadcast(visual_done(before))).select("total", "done", "failed", (F.col("n") + F.col("done")).alias("skipped"))
 
 
 def upsert(catalogue: DataFrame, scanned: DataFrame, now: int, keep_decode_error: bool = False) -> DataFrame:
@@ -80,7 +101,9 @@ def delete_rows(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 
 def replace_rows(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Append; rows with a known key replace the old ones."""
+    """Append; rows with a known key replace the old ones, and of rows with one key the greatest counts."""
+    rest = [c for c in table.columns if c not in key]
+    rows = rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else rows.select(*key).distinct()
     kept = table.join(rows.select(*key).distinct(), key, "left_anti").select(*table.columns)
     return kept.unionByName(rows.select(*table.columns))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.names import LOWER, UPPER, ascii_lower
@@ -38,8 +38,12 @@ class Filter:
 
     def conditions(self) -> list[str]:
         """The names of the conditions that ask something."""
-        skip = {"sort", "limit", "offset"}
-        return [f.name for f in fields(self) if f.name not in skip and getattr(self, f.name) not in (None, (), False, "") and not (f.name == "search" and not self.search.strip())]
+        asks = lambda v: bool(v.strip()) if isinstance(v, str) else len(v) > 0 if isinstance(v, (tuple, list)) else v is not None and v is not False
+        return [f.name for f in fields(self) if f.name not in ("sort", "limit", "offset") and asks(getattr(self, f.name))]
+
+    def without(self, condition: str) -> Filter:
+        """The filter with one of its conditions cleared."""
+        return replace(self, **{condition: Filter.__dataclass_fields__[condition].default})
 
 
 def toggle_ext(known: list[str], chosen: list[str], ext: str) -> list[str]:
@@ -107,10 +111,24 @@ def page(files: DataFrame, f: Filter, gray_threshold: float = GRAY_THRESHOLD) ->
     return matching(files, f, gray_threshold).orderBy(*order_of(f.sort)).offset(max(0, f.offset)).limit(f.limit if f.limit > 0 else DEFAULT_LIMIT)
 
 
-def page_after(files: DataFrame, f: Filter, size: int, id_: int) -> DataFrame:
-    """The page that follows the row (size, id) in size_desc order: a predicate that reaches the scan instead of an offset."""
-    later = (F.col("size") < size) | ((F.col("size") == size) & (F.col("id") > id_))
-    return matching(files, f).where(later).orderBy(*order_of("size_desc")).limit(f.limit if f.limit > 0 else DEFAULT_LIMIT)
+def after(sort: str, last: dict[str, object]) -> Column:
+    """Whether a row comes after `last` (its sort value and id) in that order: a predicate instead of an offset.
+
+    last: id, and size, path, or pixels, which may be None where rows without dimensions have begun.
+    """
+    key, descending, nullable = {"size_desc": ("size", True, False), "size_asc": ("size", False, False), "path_asc": ("path", False, False), "pixels_desc": ("pixels", True, True), "pixels_asc": ("pixels", False, True)}[sort]
+    value = F.col("width") * F.col("height") if key == "pixels" else F.col(key)
+    at, beyond_id = last.get(key), F.col("id") > last["id"]
+    if at is None:
+        return value.isNull() & beyond_id
+    further = (value < at) if descending else (value > at)
+    out = further | ((value == at) & beyond_id)
+    return out | value.isNull() if nullable else out
+
+
+def page_after(files: DataFrame, f: Filter, last: dict[str, object], gray_threshold: float = GRAY_THRESHOLD) -> DataFrame:
+    """The page that follows the row `last` in the filter's order, see after(). The work of a page doesn't grow with its place."""
+    return matching(files, f, gray_threshold).where(after(f.sort, last)).orderBy(*order_of(f.sort)).limit(f.limit if f.limit > 0 else DEFAULT_LIMIT)
 
 
 def count_matching(files: DataFrame, f: Filter, gray_threshold: float = GRAY_THRESHOLD) -> DataFrame:
@@ -138,3 +156,8 @@ def badges(files: DataFrame, gray_threshold: float = GRAY_THRESHOLD) -> DataFram
     copies = duplicated_hashes(files)
     marked = normal.join(copies, "content_hash", "left")
     return marked.select("id", F.coalesce(F.col("gray_score") <= gray_threshold, F.lit(False)).alias("gray"), F.coalesce("copies", F.when(F.col("content_hash").isNotNull(), 1).otherwise(0)).cast("bigint").alias("copies"), F.col("decode_error").isNotNull().alias("bad"))
+
+
+def query(spark: SparkSession, sql: str, args: dict[str, object], **tables: DataFrame) -> DataFrame:
+    """Any SQL over the given tables, named in it as {name}, with values bound to :name and never spliced in."""
+    return spark.sql(sql, args=args, **tables)

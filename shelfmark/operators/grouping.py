@@ -123,6 +123,23 @@ def group_page(files: DataFrame, groups: DataFrame, members: DataFrame, kind: st
     return group_views(files, chosen, members.join(chosen.select(F.col("id").alias("group_id")), "group_id", "left_semi"))
 
 
+def list_groups(files: DataFrame, groups: DataFrame, members: DataFrame, kind: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """One page of a kind's groups with all that a list shows: group_id, keep, file_id, distance, the group's members, savings and reason, and the record's columns.
+
+    A row per record instead of a list per group, so that a group of any size is rows and never one
+    value. keep marks the kept record, at distance 0; a list has it first, the others by distance and
+    id. Groups whose keeper files lacks take their place in the page but have no row.
+    """
+    chosen = groups.where(plain_kind(F.col("kind")) == kind).select("id", "kind", "keep_file_id").distinct().orderBy("id").offset(max(0, offset)).limit(max(1, limit))
+    belongs = members.join(chosen.select(F.col("id").alias("group_id")), "group_id", "left_semi")
+    views = group_views(files, chosen, belongs).select("group_id", "keep_file_id", "members", "savings", "reason")
+    record = [c for c in files.columns if c != "id"]
+    kept = views.select("group_id", F.col("keep_file_id").alias("file_id"), F.lit(0).cast("bigint").alias("distance"), F.lit(True).alias("keep"))
+    others = group_members(files, chosen, belongs).select("group_id", "file_id", "distance", F.lit(False).alias("keep"))
+    rows = kept.unionByName(others).join(views, "group_id").join(files.select(F.col("id").alias("file_id"), *record), "file_id")
+    return rows.select("group_id", "keep", "file_id", "distance", "members", "savings", "reason", *record)
+
+
 def group_tiles(files: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
     """group_id, shown (the keeper and the first members by distance and id, 8 at most), more (how many are left).
 
@@ -141,6 +158,25 @@ def default_selection(files: DataFrame, groups: DataFrame, members: DataFrame) -
     return group_members(files, groups, members).where("kind = 'exact'").select("group_id", "file_id", "size")
 
 
+def select_also(chosen: DataFrame, more: DataFrame) -> DataFrame:
+    """file_id of both selections, once each."""
+    return chosen.select("file_id").unionByName(more.select("file_id")).distinct()
+
+
+def deselect(chosen: DataFrame, fewer: DataFrame) -> DataFrame:
+    return chosen.select("file_id").distinct().join(fewer.select("file_id"), "file_id", "left_anti")
+
+
+def toggle(chosen: DataFrame, touched: DataFrame) -> DataFrame:
+    """The selection with every touched file switched: in if it was out, out if it was in."""
+    return deselect(chosen, touched).unionByName(deselect(touched, chosen))
+
+
+def visible_selection(chosen: DataFrame, shown: DataFrame) -> DataFrame:
+    """What is selected among the files shown (column id)."""
+    return chosen.select("file_id").distinct().join(shown.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+
+
 def selection_totals(selected: DataFrame) -> DataFrame:
     return selected.select("file_id", "size").distinct().agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
@@ -157,5 +193,6 @@ def set_keeper(groups: DataFrame, group_id: int, file_id: int) -> DataFrame:
 
 def clear_groups(groups: DataFrame, members: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """groups and members without those of a kind."""
-    gone = groups.where(F.col("kind") == kind).select(F.col("id").alias("group_id"))
-    return groups.where(F.col("kind").isNull() | (F.col("kind") != kind)), members.join(gone, "group_id", "left_anti")
+    of_kind = F.coalesce(plain_kind(F.col("kind")) == kind, F.lit(False))
+    gone = groups.where(of_kind).select(F.col("id").alias("group_id"))
+    return groups.where(~of_kind), members.join(gone, "group_id", "left_anti")
