@@ -11,6 +11,7 @@ from shelfmark.functions import names, scalars
 from shelfmark.operators import cache, catalogue, facets, filters, grouping, ledger, ordering, similar
 from shelfmark.operators.filters import Filter
 from shelfmark.streaming.ingest import latest_per_path
+from shelfmark.runtime import Written, shuffle_partitions, table_state
 from shelfmark.tables import FILES, current_files, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +25,21 @@ WANTED = Filter(min_pixels=400_000, max_size=3_000_000, exts=("JPG", "png"))
 DUPLICATED = Filter(only_duplicated=True)
 
 
+_snapshots: dict[tuple, DataFrame] = {}
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return current_files(table(spark, d, "files"), [c for c in COLUMNS if c != "id"]).select(*COLUMNS)
+    """The catalogue: the current row of every file, stored as a snapshot that queries read with pushed filters.
+
+    Written once per session and state of the table, range partitioned by size, the order it is
+    paged in; a changed table gets a new snapshot.
+    """
+    source = f"{d}/files.parquet"
+    key = (spark.sparkContext.applicationId, source, table_state(spark, source))
+    if key not in _snapshots:
+        current = current_files(table(spark, d, "files"), [c for c in COLUMNS if c != "id"]).select(*COLUMNS)
+        _snapshots[key] = Written(current.repartitionByRange(shuffle_partitions(spark), "size", "id").sortWithinPartitions("size", "id"), "catalogue").df
+    return _snapshots[key]
 
 
 def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,6 +50,10 @@ def _paged(**conditions: object) -> Query:
     return lambda spark, d: filters.page(files(spark, d), Filter(**conditions)).select(*SHOWN)
 
 
+def _next(sort: str, **last: object) -> Query:
+    return lambda spark, d: filters.page_after(files(spark, d), Filter(limit=300, sort=sort), last | {"id": 5_000}).select(*SHOWN)
+
+
 def _matching(f: Filter) -> Query:
     return lambda spark, d: filters.matching(files(spark, d), f).select("id", "path")
 
@@ -84,8 +102,11 @@ def exact_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Distinct fingerprints of content representatives within 8 bits."""
-    bits = similar.visual_records(files(spark, d)).select("bits").distinct()
-    return similar.near_bits(bits, 8).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").cast("bigint").alias("distance"))
+    return _pairs(8)(spark, d)
+
+
+def _pairs(threshold: int) -> Query:
+    return lambda spark, d: similar.near_bits(similar.visual_records(files(spark, d)).select("bits").distinct(), threshold)
 
 
 def similar_components(spark: SparkSession, d: str) -> DataFrame:
@@ -96,14 +117,29 @@ def default_selection(spark: SparkSession, d: str) -> DataFrame:
     return grouping.default_selection(*_groups(spark, d))
 
 
+def _restored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "quarantine").distinct()
+    return ledger.restore_effect(rows, files(spark, d), rows.where("batch_id IS NOT NULL").select("id"), NOW)
+
+
 def restore_effect(spark: SparkSession, d: str) -> DataFrame:
-    _, after = ledger.restore_effect(table(spark, d, "quarantine"), files(spark, d), F.col("batch_id").isNotNull(), NOW)
-    return after.groupBy("status").agg(F.count("*").alias("n"))
+    return _restored(spark, d)[1].groupBy("status").agg(F.count("*").alias("n"))
 
 
 def restored_ledger(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = ledger.restore_effect(table(spark, d, "quarantine").distinct(), files(spark, d), F.col("batch_id").isNotNull(), NOW)
-    return rows.select("id", "file_id", "restored_at")
+    return _restored(spark, d)[0].select("id", "file_id", "restored_at")
+
+
+def _moves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Moving the recorded groups' other members; every fifth fails."""
+    f, groups, members = _groups(spark, d)
+    ids = members.where("file_id IS NOT NULL").select(F.col("file_id").alias("id"))
+    plan = ledger.plan_moves(f, ids, "b", "/q", spark.createDataFrame([], "name string"), NOW)
+    return ledger.move_effect(f, ids, plan.withColumn("error", F.when(F.col("file_id") % 5 == 0, "io")))
+
+
+def move_status(spark: SparkSession, d: str) -> DataFrame:
+    return _moves(spark, d)[0].groupBy("status").agg(F.count("*").alias("n"))
 
 
 def _purge(k: int) -> Query:
@@ -111,8 +147,53 @@ def _purge(k: int) -> Query:
 
 
 def unique_dest(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "quarantine").distinct().where("original_path IS NOT NULL").select("id", "original_path")
-    return ledger.unique_names(rows, spark.createDataFrame([], "name string"), "original_path", "id").select("id", "dest")
+    """Names for moving every file of the catalogue into a folder that holds what the ledger's open rows name, and some numbered ones."""
+    f = files(spark, d).select("id", "path")
+    open_ = ledger.open_rows(table(spark, d, "quarantine")).select(names.base_name(F.col("moved_path")).alias("name"))
+    numbered = f.where("id % 3 = 0").select(F.concat(names.stem(F.col("path")), F.lit("__"), (F.col("id") % 4 + 1).cast("string"), F.lit("."), names.extension(F.col("path"))).alias("name"))
+    return ledger.unique_names(f, open_.unionByName(numbered), "path", "id").select("id", "dest")
+
+
+def hash_stats(spark: SparkSession, d: str) -> DataFrame:
+    """What hashing found for the candidates of the history that lacked a hash, by what the files have now."""
+    known = _increment(spark, d)[0]
+    now = files(spark, d).select("id", F.col("content_hash").alias("now"))
+    return catalogue.hash_stats(grouping.size_candidates(known), grouping.needs_content(known).select("id").join(now, "id").select(F.col("now").alias("content_hash")))
+
+
+def visual_stats(spark: SparkSession, d: str) -> DataFrame:
+    known = _increment(spark, d)[0]
+    return catalogue.visual_stats(grouping.needs_visual(known).select("id").join(files(spark, d), "id").select("phash", "decode_error"), known)
+
+
+def similar_recorded(spark: SparkSession, d: str) -> DataFrame:
+    groups, members = similar.recorded_groups(files(spark, d), 4)
+    return members.join(groups.select(F.col("id").alias("group_id"), "kind", "keep_file_id"), "group_id")
+
+
+def list_groups(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.list_groups(*_groups(spark, d), "similar", 25, 10).select("group_id", "keep", "file_id", "distance", "members", "savings", "reason", "path", "size", "mtime")
+
+
+def cleared_groups(spark: SparkSession, d: str) -> DataFrame:
+    groups, members = grouping.clear_groups(table(spark, d, "dup_groups"), table(spark, d, "dup_members"), "exact")
+    return groups.select(F.lit("groups").alias("part"), F.col("id").alias("key")).unionByName(members.select(F.lit("members").alias("part"), F.col("group_id").alias("key"))).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+def thumbs_missing(spark: SparkSession, d: str) -> DataFrame:
+    return cache.missing_thumbs(files(spark, d), _manifest(spark, d))
+
+
+def toggled(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.toggle(default_selection(spark, d), files(spark, d).where("id % 3 = 0").select(F.col("id").alias("file_id")))
+
+
+def visible_selection(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.visible_selection(default_selection(spark, d), filters.matching(files(spark, d), WANTED))
+
+
+def by_root(spark: SparkSession, d: str) -> DataFrame:
+    return filters.query(spark, "SELECT root, count(*) AS n, sum(size) AS bytes FROM {files} WHERE size >= :least AND status = :status GROUP BY root", {"least": 1000, "status": "normal"}, files=files(spark, d))
 
 
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +234,12 @@ def queries() -> dict[str, Query]:
         "sort_pixels_asc_nulls_last": _paged(sort="pixels_asc"),
         "sort_path": _paged(sort="path_asc", limit=0),
         "page_offset": _paged(limit=300, offset=600),
-        "page_keyset": lambda spark, d: filters.page_after(files(spark, d), Filter(limit=300), 1_000_000, 5_000).select(*SHOWN),
+        "page_keyset": _next("size_desc", size=1_000_000),
+        "page_keyset_size_asc": _next("size_asc", size=1_000_000),
+        "page_keyset_pixels_desc": _next("pixels_desc", pixels=50_000),
+        "page_keyset_pixels_asc": _next("pixels_asc", pixels=5_000_000),
+        "page_keyset_nulls": _next("pixels_asc", pixels=None),
+        "page_keyset_path": _next("path_asc", path="F"),
         "count_filtered": lambda spark, d: filters.count_matching(files(spark, d), WANTED),
         "count_duplicated": lambda spark, d: filters.count_matching(files(spark, d), DUPLICATED),
         "library_stats": q(facets.library_stats),
@@ -175,6 +261,20 @@ def queries() -> dict[str, Query]:
         "content_representatives": lambda spark, d: grouping.content_representatives(files(spark, d)).select("id"),
         "dup_badges": q(filters.badges),
         "similar_pairs": similar_pairs,
+        "similar_pairs_1": _pairs(1),
+        "similar_pairs_11": _pairs(11),
+        "similar_recorded": similar_recorded,
+        "list_groups": list_groups,
+        "cleared_groups": cleared_groups,
+        "hash_stats": hash_stats,
+        "visual_stats": visual_stats,
+        "move_status": move_status,
+        "move_report": lambda spark, d: _moves(spark, d)[2],
+        "move_ledger": lambda spark, d: _moves(spark, d)[1].select("file_id", "original_path", "batch_id", "moved_at", "restored_at"),
+        "thumbs_missing": thumbs_missing,
+        "toggled": toggled,
+        "visible_selection": visible_selection,
+        "by_root": by_root,
         "similar_components": similar_components,
         "similar_groups": q(similar.similar_groups),
         "group_members": lambda spark, d: grouping.group_members(*_groups(spark, d)).select("group_id", "kind", "file_id", "distance", "size"),
@@ -268,19 +368,39 @@ _REPRESENTED = f"""{_CUR}, rep AS (SELECT * EXCLUDE (k) FROM (SELECT *, CASE WHE
 FROM cur WHERE status = 'normal' AND phash IS NOT NULL) WHERE k = 1)"""
 _VISUAL = rf"""{_REPRESENTED}, vis AS (SELECT id, pid, CAST('0x' || phash AS UBIGINT) AS v, CASE WHEN TRY_CAST(nullif(digits, '') AS HUGEINT) <= 4294967295 THEN TRY_CAST(nullif(digits, '') AS HUGEINT) END AS page
 FROM (SELECT *, regexp_extract(translate({_STEM}, {_LOW}), '(?s)^.*_p([0-9]*)', 1) AS digits FROM rep WHERE regexp_full_match(phash, '[0-9a-fA-F]{{1,16}}')))"""
-_COMPONENTS = f"""{_VISUAL}, pair AS (SELECT a.id AS x, b.id AS y FROM vis a JOIN vis b ON a.id < b.id WHERE bit_count(xor(a.v, b.v)) <= 8 AND NOT coalesce(a.pid = b.pid AND a.page <> b.page, FALSE)),
+
+
+def _components(threshold: int) -> str:
+    return f"""{_VISUAL}, pair AS (SELECT a.id AS x, b.id AS y FROM vis a JOIN vis b ON a.id < b.id WHERE bit_count(xor(a.v, b.v)) <= {threshold} AND NOT coalesce(a.pid = b.pid AND a.page <> b.page, FALSE)),
 edge AS (SELECT x, y FROM pair UNION ALL SELECT y, x FROM pair),
 walk(id, root) AS (SELECT DISTINCT x, x FROM edge UNION SELECT e.y, w.root FROM walk w JOIN edge e ON e.x = w.id WHERE w.root < e.y),
 comp AS (SELECT id, min(root) AS root FROM walk GROUP BY id)"""
 
+
+def _grouped(threshold: int) -> str:
+    return f"""{_components(threshold)}, mem AS (SELECT c.root, v.id, v.v FROM comp c JOIN vis v USING (id)),
+total AS (SELECT a.root, a.id, a.v, sum(bit_count(xor(a.v, b.v))) AS s FROM mem a JOIN mem b USING (root) GROUP BY ALL),
+base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY s, id) AS k FROM total) WHERE k = 1),
+dist AS (SELECT m.root, b.id AS keep_id, m.id AS file_id, CAST(bit_count(xor(m.v, b.v)) AS BIGINT) AS distance FROM mem m JOIN base b USING (root)),
+firsts AS (SELECT root, keep_id, min(distance) FILTER (file_id <> keep_id) AS f FROM dist GROUP BY ALL),
+grouped AS (SELECT dense_rank() OVER (ORDER BY f.f, f.keep_id) AS group_no, d.keep_id, d.file_id, d.distance FROM dist d JOIN firsts f USING (root))"""
+
+
+def _near(threshold: int) -> str:
+    return f"""WITH {_VISUAL}, b AS (SELECT DISTINCT CASE WHEN v >= 9223372036854775808 THEN CAST(CAST(v AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(v AS BIGINT) END AS s, v FROM vis)
+SELECT x.s AS a, y.s AS b, CAST(bit_count(xor(x.v, y.v)) AS INTEGER) AS distance FROM b x JOIN b y ON x.s < y.s WHERE bit_count(xor(x.v, y.v)) <= {threshold}"""
+
+
 _MEMBERS = f"""{_CUR}, g AS (SELECT DISTINCT id AS group_id, lower(trim(kind)) AS kind, keep_file_id FROM dup_groups),
 m AS (SELECT group_id, file_id, coalesce(min(distance), 0) AS distance FROM dup_members WHERE group_id IS NOT NULL AND file_id IS NOT NULL GROUP BY ALL),
 gm AS (SELECT g.group_id, g.kind, g.keep_file_id, m.file_id, m.distance, c.size, c.path, c.pid, c.mtime FROM m JOIN g USING (group_id) JOIN cur c ON c.id = m.file_id WHERE m.file_id <> g.keep_file_id)"""
-_VIEWS = _MEMBERS + f""", seen AS (SELECT gm.group_id, count(*) AS n, CAST(sum(gm.size) AS BIGINT) AS s, min(gm.distance) AS nearest, max(gm.distance) AS farthest,
+_SEEN = """, seen AS (SELECT gm.group_id, count(*) AS n, CAST(sum(gm.size) AS BIGINT) AS s, min(gm.distance) AS nearest, max(gm.distance) AS farthest,
   bool_or(CASE WHEN gm.path <> k.path THEN gm.pid IS NULL END) AS lacks, max(CASE WHEN gm.path <> k.path THEN strlen(gm.path) END) AS longest, max(CASE WHEN gm.path <> k.path THEN gm.mtime END) AS latest
-  FROM gm JOIN cur k ON k.id = gm.keep_file_id GROUP BY gm.group_id)
+  FROM gm JOIN cur k ON k.id = gm.keep_file_id GROUP BY gm.group_id)"""
+_VIEW = f"""
 SELECT p.group_id, p.kind, p.keep_file_id, coalesce(n, 0) AS members, coalesce(s, 0) AS savings, nearest, farthest, {_REASON.format(pid="k.pid", path="k.path", mtime="k.mtime")} AS reason
 FROM {{page}} p JOIN cur k ON k.id = p.keep_file_id LEFT JOIN seen USING (group_id)"""
+_VIEWS = _MEMBERS + _SEEN + _VIEW
 
 _INCREMENT = f"""known AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC NULLS LAST) AS rn FROM files WHERE coalesce(scanned_at, 0) < {HISTORY_END}) WHERE rn = 1),
 scanned AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC) AS rn FROM files WHERE scanned_at >= {HISTORY_END}) WHERE rn = 1),
@@ -330,6 +450,11 @@ def oracle_sql() -> dict[str, str]:
         "sort_path": _page("path"),
         "page_offset": _page("size DESC", 300, 600),
         "page_keyset": _page("size DESC", 300, 0, " AND (size < 1000000 OR (size = 1000000 AND id > 5000))"),
+        "page_keyset_size_asc": _page("size", 300, 0, " AND (size > 1000000 OR (size = 1000000 AND id > 5000))"),
+        "page_keyset_pixels_desc": _page("width * height DESC NULLS LAST", 300, 0, " AND (width * height < 50000 OR (width * height = 50000 AND id > 5000) OR width * height IS NULL)"),
+        "page_keyset_pixels_asc": _page("width * height NULLS LAST", 300, 0, " AND (width * height > 5000000 OR (width * height = 5000000 AND id > 5000) OR width * height IS NULL)"),
+        "page_keyset_nulls": _page("width * height NULLS LAST", 300, 0, " AND width * height IS NULL AND id > 5000"),
+        "page_keyset_path": _page("path", 300, 0, " AND (path > 'F' OR (path = 'F' AND id > 5000))"),
         "count_filtered": f"{own}SELECT count(*) AS n FROM cur WHERE status = 'normal' AND {wanted}",
         "count_duplicated": f"{own}SELECT count(*) AS n FROM cur WHERE status = 'normal' AND content_hash IN ({_DUP})",
         "library_stats": f"{own}SELECT count(*) AS total, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, coalesce(max(scanned_at), 0) AS last_scan_at FROM cur WHERE status = 'normal'",
@@ -361,15 +486,30 @@ count(*) FILTER (phash IS NULL AND decode_error IS NULL) AS waiting, count(conte
 FROM kept k LEFT JOIN (SELECT e.content_hash, bool_or(e.pid IS NULL) AS lacks, max(strlen(e.path)) AS longest, max(e.mtime) AS latest FROM exact e JOIN kept k USING (content_hash) WHERE e.path <> k.path GROUP BY 1) USING (content_hash)""",
         "content_representatives": f"WITH {_REPRESENTED} SELECT id FROM rep",
         "dup_badges": f"""{own}SELECT id, coalesce(gray_score <= 8, FALSE) AS gray, CASE WHEN content_hash IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY content_hash) END AS copies, decode_error IS NOT NULL AS bad FROM cur WHERE status = 'normal'""",
-        "similar_pairs": f"""WITH {_VISUAL}, b AS (SELECT DISTINCT CASE WHEN v >= 9223372036854775808 THEN CAST(CAST(v AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(v AS BIGINT) END AS s, v FROM vis)
-SELECT x.s AS a, y.s AS b, CAST(bit_count(xor(x.v, y.v)) AS BIGINT) AS distance FROM b x JOIN b y ON x.s < y.s WHERE bit_count(xor(x.v, y.v)) <= 8""",
-        "similar_components": f"WITH RECURSIVE {_COMPONENTS} SELECT id, root FROM comp",
-        "similar_groups": f"""WITH RECURSIVE {_COMPONENTS}, mem AS (SELECT c.root, v.id, v.v FROM comp c JOIN vis v USING (id)),
-total AS (SELECT a.root, a.id, a.v, sum(bit_count(xor(a.v, b.v))) AS s FROM mem a JOIN mem b USING (root) GROUP BY ALL),
-base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY s, id) AS k FROM total) WHERE k = 1),
-dist AS (SELECT m.root, b.id AS keep_id, m.id AS file_id, CAST(bit_count(xor(m.v, b.v)) AS BIGINT) AS distance FROM mem m JOIN base b USING (root)),
-firsts AS (SELECT root, keep_id, min(distance) FILTER (file_id <> keep_id) AS f FROM dist GROUP BY ALL)
-SELECT dense_rank() OVER (ORDER BY f.f, f.keep_id) AS group_no, d.keep_id, d.file_id, d.distance FROM dist d JOIN firsts f USING (root)""",
+        "similar_pairs": _near(8),
+        "similar_pairs_1": _near(1),
+        "similar_pairs_11": _near(11),
+        "similar_recorded": f"WITH RECURSIVE {_grouped(4)} SELECT g.group_no AS group_id, g.file_id, g.distance, 'similar' AS kind, g.keep_id AS keep_file_id FROM grouped g",
+        "list_groups": f"""WITH {_MEMBERS}{_SEEN}, page AS (SELECT * FROM g WHERE kind = 'similar' ORDER BY group_id LIMIT 25 OFFSET 10), view AS ({_VIEW.format(page="page")}),
+rows AS (SELECT group_id, TRUE AS keep, keep_file_id AS file_id, CAST(0 AS BIGINT) AS distance FROM view UNION ALL SELECT group_id, FALSE, file_id, distance FROM gm WHERE group_id IN (SELECT group_id FROM view))
+SELECT r.group_id, r.keep, r.file_id, r.distance, v.members, v.savings, v.reason, c.path, c.size, c.mtime FROM rows r JOIN view v USING (group_id) JOIN cur c ON c.id = r.file_id""",
+        "cleared_groups": """SELECT 'groups' AS part, count(*) AS n, count(DISTINCT id) AS keys FROM dup_groups WHERE coalesce(lower(trim(kind)), '') <> 'exact'
+UNION ALL SELECT 'members', count(*), count(DISTINCT group_id) FROM dup_members WHERE group_id IS NULL OR group_id NOT IN (SELECT id FROM dup_groups WHERE lower(trim(kind)) = 'exact' AND id IS NOT NULL)""",
+        "hash_stats": f"""WITH {_CUR}, {_INCREMENT}, c AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY size) AS n FROM known WHERE status = 'normal' AND size IS NOT NULL) WHERE n > 1),
+r AS (SELECT u.content_hash AS h FROM c JOIN cur u ON u.id = c.id WHERE c.content_hash IS NULL)
+SELECT (SELECT count(DISTINCT size) FROM c) AS groups, count(h) AS hashed, count(*) - count(h) AS failed FROM r""",
+        "visual_stats": f"""WITH {_CUR}, {_INCREMENT}, r AS (SELECT u.phash AS p FROM known k JOIN cur u ON u.id = k.id WHERE k.status = 'normal' AND k.phash IS NULL AND k.decode_error IS NULL)
+SELECT count(*) AS total, count(p) AS done, count(*) - count(p) AS failed, count(p) + (SELECT count(phash) FROM known) AS skipped FROM r""",
+        "move_status": f"{own}SELECT status, count(*) AS n FROM (SELECT CASE WHEN id % 5 <> 0 AND id IN (SELECT file_id FROM dup_members) THEN 'quarantined' ELSE status END AS status FROM cur) GROUP BY status",
+        "move_report": f"""{own}SELECT count(*) FILTER (m) AS moved, count(*) FILTER (NOT m) AS failed, CAST(coalesce(sum(size) FILTER (m), 0) AS BIGINT) AS bytes
+FROM (SELECT c.size, c.id IS NOT NULL AND i.file_id % 5 <> 0 AS m FROM (SELECT DISTINCT file_id FROM dup_members WHERE file_id IS NOT NULL) i LEFT JOIN cur c ON c.id = i.file_id)""",
+        "move_ledger": f"{own}SELECT id AS file_id, path AS original_path, 'b' AS batch_id, CAST({NOW} AS BIGINT) AS moved_at, CAST(NULL AS BIGINT) AS restored_at FROM cur WHERE id % 5 <> 0 AND id IN (SELECT file_id FROM dup_members)",
+        "thumbs_missing": f"{own}SELECT id, id || '_' || mtime || '.jpg' AS name FROM cur WHERE status = 'normal' AND phash IS NULL",
+        "toggled": f"WITH {_MEMBERS}, s AS (SELECT DISTINCT file_id FROM gm WHERE kind = 'exact'), t AS (SELECT id AS file_id FROM cur WHERE id % 3 = 0) (SELECT file_id FROM s EXCEPT SELECT file_id FROM t) UNION (SELECT file_id FROM t EXCEPT SELECT file_id FROM s)",
+        "visible_selection": f"WITH {_MEMBERS} SELECT DISTINCT file_id FROM gm WHERE kind = 'exact' AND file_id IN (SELECT id FROM cur WHERE status = 'normal' AND {wanted})",
+        "by_root": f"{own}SELECT root, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM cur WHERE size >= 1000 AND status = 'normal' GROUP BY root",
+        "similar_components": f"WITH RECURSIVE {_components(8)} SELECT id, root FROM comp",
+        "similar_groups": f"WITH RECURSIVE {_grouped(8)} SELECT * FROM grouped",
         "group_members": f"WITH {_MEMBERS} SELECT group_id, kind, file_id, distance, size FROM gm",
         "group_view": "WITH " + _VIEWS.format(page="g"),
         "group_page": "WITH " + _VIEWS.format(page="(SELECT * FROM g WHERE kind = 'exact' ORDER BY group_id LIMIT 20 OFFSET 40)"),
@@ -380,20 +520,22 @@ SELECT group_id, keep_file_id || ',' || string_agg(CAST(file_id AS VARCHAR), ','
         "count_groups": "SELECT kind, count(*) AS n FROM (SELECT DISTINCT id, lower(trim(kind)) AS kind FROM dup_groups) GROUP BY kind",
         "scan_diff": f"WITH {_INCREMENT} SELECT path, change FROM diff",
         "scan_stats": f"""WITH {_INCREMENT} SELECT count(*) AS seen, count(*) FILTER (change = 'inserted') AS inserted, count(*) FILTER (change = 'updated') AS updated,
-count(*) FILTER (change = 'skipped') AS skipped, count(*) FILTER (change = 'failed') AS failed FROM diff""",
+count(*) FILTER (change = 'skipped') AS skipped, count(*) FILTER (change = 'failed') AS failed, FALSE AS cancelled FROM diff""",
         "upsert_files": f"WITH {_INCREMENT}, s AS (SELECT * FROM diff WHERE change IN ('inserted', 'updated')) SELECT {', '.join(map(_upserted, COLUMNS))} FROM known k FULL JOIN s USING (path)",
         "quarantine_batches": f"WITH {_LEDGER} {_BATCHES}",
         "quarantine_batch_files": f"WITH {_LEDGER} SELECT o.batch_id, o.id AS row_id, o.file_id, c.path, c.size FROM open o JOIN cur c ON c.id = o.file_id",
         "quarantine_totals": f"WITH {_LEDGER} SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM ({_BATCHES})",
         "restore_effect": f"WITH {_LEDGER} SELECT status, count(*) AS n FROM (SELECT CASE WHEN id IN (SELECT file_id FROM open WHERE batch_id IS NOT NULL) THEN 'normal' ELSE status END AS status FROM cur) GROUP BY status",
         "restored_ledger": f"WITH {_LEDGER} SELECT id, file_id, CASE WHEN restored_at IS NULL AND file_id IN (SELECT file_id FROM open WHERE batch_id IS NOT NULL) THEN {NOW} ELSE restored_at END AS restored_at FROM q",
-        "purge_ledger": f"WITH {_LEDGER} SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM open o WHERE o.batch_id IS NOT NULL AND o.file_id = q.file_id)",
+        "purge_ledger": f"WITH {_LEDGER} SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM open o WHERE o.batch_id IS NOT NULL AND (o.file_id = q.file_id OR o.id = q.id))",
         "purge_log": f"WITH {_LEDGER} SELECT o.id, o.moved_path AS path, c.size, CAST({NOW} AS BIGINT) AS purged_at, o.batch_id FROM open o LEFT JOIN cur c ON c.id = o.file_id WHERE o.batch_id IS NOT NULL",
         "purge_report": f"WITH {_LEDGER} SELECT o.batch_id, count(*) AS purged, CAST(coalesce(sum(c.size), 0) AS BIGINT) AS bytes FROM open o LEFT JOIN cur c ON c.id = o.file_id WHERE o.batch_id IS NOT NULL GROUP BY o.batch_id",
-        "unique_dest": rf"""WITH q AS (SELECT DISTINCT * FROM quarantine WHERE original_path IS NOT NULL), r AS (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) - 1 AS k FROM (SELECT id, regexp_extract(original_path, '([^/\\]*)$', 1) AS name FROM q)),
-u AS (SELECT regexp_replace(name, '(?s)^(.*)__\d{{1,9}}((?:\.[^.]*)?)$', '\1\2') AS family, max(CAST(regexp_extract(name, '(?s)^.*__(\d{{1,9}})(?:\.[^.]*)?$', 1) AS BIGINT)) AS top
-  FROM (SELECT name FROM r WHERE regexp_extract(name, '(?s)^.*__(\d{{1,9}})(?:\.[^.]*)?$', 1) <> '') GROUP BY 1)
-SELECT id, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '(?s)^(.+)\.[^.]*$', '\1') || '__' || (k + coalesce(top, 0)) || {_EXT} END AS dest FROM r LEFT JOIN u ON u.family = r.name""",
+        "unique_dest": rf"""WITH {_LEDGER}, r AS (SELECT id, name, stem, row_number() OVER (PARTITION BY name ORDER BY id) - 1 AS k FROM (SELECT id, {_BASE} AS name, {_STEM} AS stem FROM cur)),
+f AS (SELECT regexp_extract(moved_path, '([^/\\]*)$', 1) AS name FROM open UNION SELECT stem || '__' || (id % 4 + 1) || '.' || regexp_extract(name, '([^.]*)$', 1) FROM r WHERE id % 3 = 0),
+t AS (SELECT name, t, row_number() OVER (PARTITION BY name ORDER BY t) - 1 AS i FROM (SELECT DISTINCT n.name, s.t FROM (SELECT DISTINCT name, stem FROM r) n JOIN (SELECT name AS held, 0 AS t, name AS own FROM f
+  UNION ALL SELECT name, CAST(regexp_extract(name, '__([1-9][0-9]*)\.[^.]*$', 1) AS BIGINT), regexp_replace(name, '__[1-9][0-9]*(\.[^.]*)$', '\1') FROM f WHERE regexp_matches(name, '__[1-9][0-9]*\.[^.]*$')) s ON s.own = n.name)),
+p AS (SELECT id, name, stem, k + (SELECT count(*) FROM t WHERE t.name = r.name AND t.t - t.i <= r.k) AS n FROM r)
+SELECT id, CASE WHEN n = 0 THEN name ELSE stem || '__' || n || {_EXT} END AS dest FROM p""",
         "cache_evict": f"WITH {_THUMBS} SELECT name, size FROM gone",
         "cache_report": f"WITH {_THUMBS} SELECT count(*) AS removed, CAST(coalesce(sum(size), 0) AS BIGINT) AS freed, CAST((SELECT total FROM t) - coalesce(sum(size), 0) AS BIGINT) AS remaining FROM gone",
         "nearest_rank_p95": _RANKED.format(cur=_CUR, v="gray_score") + "SELECT ext, n, v AS p95 FROM r WHERE place = (2 * 95 * (n - 1) + 100) // 200",

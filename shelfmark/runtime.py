@@ -35,6 +35,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(files, bytes, newest change) of a table's folder or file: what changes when the table does."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return len(found), sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)
+
+
 class Written:
     """A table written once to the shared folder: its lineage is one file scan, so a lost executor costs nothing."""
 
@@ -56,11 +64,15 @@ class Written:
 
 @atexit.register
 def _sweep() -> None:
+    """Delete what is left of written tables; a table that can't be deleted, as without its session, doesn't keep the others."""
     for spark, path in _written:
         try:
-            delete_path(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+            if spark.sparkContext._jsc is None:
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+            else:
+                delete_path(spark, path)
+        except Exception:  # noqa: BLE001, S112
+            continue
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

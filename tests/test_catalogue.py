@@ -1,5 +1,7 @@
 """Filters, facets, names, groups, increments and ledger on small tables with known answers."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -40,7 +42,7 @@ def test_pages(seed):
     assert order(Filter()) == list("bac")
     assert order(Filter(offset=-5, limit=-1, sort="path_asc")) == list("abc")
     assert order(Filter(offset=1, limit=1)) == ["a"]
-    assert [r.path[0] for r in filters.page_after(seed, Filter(), 5000, 2).collect()] == ["a", "c"]
+    assert [r.path[0] for r in filters.page_after(seed, Filter(), {"size": 5000, "id": 2}).collect()] == ["a", "c"]
     assert order(Filter(sort="pixels_asc")) == list("cab")
 
 
@@ -52,6 +54,7 @@ def test_search_is_ascii_only(files):
 
 def test_filter_words():
     assert Filter().is_default() and Filter(search=" ").is_default()
+    assert Filter(min_size=0, only_gray=True).without("min_size").conditions() == ["only_gray"] and Filter(search="a").without("search").is_default()
     assert Filter(min_size=0, only_gray=True).conditions() == ["min_size", "only_gray"]
     assert filters.toggle_ext(["a", "b"], [], "a") == ["b"]
     assert filters.toggle_ext(["a", "b"], ["b"], "b") == ["b"]
@@ -166,7 +169,9 @@ def test_recorded_groups(files, rows, got):
     gone = rows([(7, "exact", 99), (8, "exact", None)], "id bigint, kind string, keep_file_id bigint")
     assert grouping.group_views(t, gone, m).count() == 0
     assert [r.group_id for r in grouping.group_page(t, g.union(gone), m, "exact", 0, -3).collect()] == [1]
-    left = grouping.clear_groups(g, m, "exact")
+    page = grouping.list_groups(t, g.union(gone), m, "exact", 1, 1).collect()
+    assert {(r.group_id, r.keep, r.file_id, r.distance, r.savings, r.path) for r in page} == {(2, True, 1, 0, 1, "/r/f1.jpg"), (2, False, 2, 0, 1, "/r/f2.jpg")}
+    left = grouping.clear_groups(g.withColumn("kind", F.lit(" Exact ")), m, "exact")
     assert left[0].count() == left[1].count() == 0
     assert {tuple(r) for r in grouping.set_keeper(g, 1, 4).collect()} == {(1, "exact", 4), (2, "exact", 1)}
 
@@ -218,12 +223,38 @@ def test_similar_links_connect_what_all_pairs_do(rows, picked):
     assert out == {i: r for i, r in full.items() if list(full.values()).count(r) > 1}
 
 
+@pytest.mark.parametrize("threshold", [0, 1, 2, 8, 15, 16])
+def test_near_bits_at_every_threshold(rows, threshold):
+    rnd = random.Random(threshold)
+    centres = [rnd.getrandbits(64) for _ in range(8)] + [0, 2**64 - 1]
+    values = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(threshold + 2))) for c in centres for _ in range(25)} | {rnd.getrandbits(64) for _ in range(60)}
+    signed = {v: v - 2**64 if v >= 2**63 else v for v in values}
+    want = {(*sorted((signed[a], signed[b])), d) for a in values for b in values if a < b and (d := bin(a ^ b).count("1")) <= threshold}
+    t = rows([(v,) for v in signed.values()], "bits bigint")
+    for limit in (100_000, 20):
+        assert {tuple(r) for r in similar.near_bits(t, threshold, limit).collect()} == want
+    prints = t.select("bits", *(F.lit(x).cast("bigint").alias(c) for c, x in (("pid", -1), ("page", -1), ("plain", 1))))
+    forest = similar.near_forest(prints, threshold, 20)
+    assert {tuple(r) for r in forest.collect()} <= {(a, b) for a, b, _ in want}
+    roots = {r.id: r.root for r in similar.components(forest.withColumnsRenamed({"a": "id", "b": "other"})).collect()}
+    assert len(set(roots.values())) == len({r.root for r in similar.components(rows([(a, b) for a, b, _ in want], "id bigint, other bigint")).collect()}) and set(roots) == {x for a, b, _ in want for x in (a, b)}
+
+
+def test_dense_cluster_gives_a_forest(rows):
+    base = 0x0123456789ABCDEF
+    values = [base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
+    t = rows([(v - 2**64 if v >= 2**63 else v, -1, -1, 1) for v in values], "bits bigint, pid bigint, page bigint, plain bigint")
+    links = similar.near_forest(t, 8)
+    # all two million pairs are near; buckets give back their rows less one
+    assert links.count() < 12 * len(values) and len({r.root for r in similar.components(links.withColumnsRenamed({"a": "id", "b": "other"})).collect()}) == 1
+
+
 def test_upsert(files, got):
     old = files({"id": 7, "path": "a", "size": 1024, "mtime": 100, "content_hash": "h", "phash": "p", "gray_score": 3.0, "status": "quarantined"}, {"id": 8, "path": "b", "size": 5, "mtime": 5, "status": "quarantined"}, {"id": 9, "path": "c"})
     new = files({"id": 101, "path": "a", "size": 2048, "mtime": 200, "decode_error": "bad"}, {"id": 102, "path": "b", "size": 5, "mtime": 5}, {"id": 103, "path": "d", "status": "", "decode_error": "bad", "width": 3, "height": 2}, {"id": 104, "path": "e", "size": None})
     d = catalogue.scan_difference(new, filters.known_files(old))
     assert {r.path: r.change for r in d.collect()} == {"a": "updated", "b": "skipped", "d": "inserted", "e": "failed"}
-    assert tuple(catalogue.scan_stats(d).head()) == (4, 1, 1, 1, 1)
+    assert tuple(catalogue.scan_stats(d).head()) == (4, 1, 1, 1, 1, False)
     out = {r.path: r for r in catalogue.upsert(old, new, 55).collect()}
     assert sorted(out) == ["a", "b", "c", "d"]
     a = out["a"]
@@ -252,22 +283,51 @@ def test_ledger(files, rows, got):
     q = rows([(1, 1, "a", "q/a", "b1", 5, None), (1, 1, "a", "q/a", "b1", 5, None), (2, 2, "b", "q/b", "b1", 6, None), (3, 99, "c", "q/c", "b2", 7, None), (4, 1, "a", "q/a", "b0", 1, 2)], LEDGER)
     assert got(ledger.batches(q, t)) == [("b1", 2, 6, 30), ("b2", 1, 7, 0)]
     assert len(got(ledger.batch_files(q, t))) == 2
-    after_q, after_f = ledger.restore_effect(q, t, F.col("batch_id") == "b1", 50)
+    after_q, after_f = ledger.restore_effect(q, t, rows([(1,), (2,)], "id bigint"), 50)
     assert {r.id: r.status for r in after_f.collect()} == {1: "normal", 2: "normal"}
     assert {r.id: r.restored_at for r in after_q.collect()} == {1: 50, 2: 50, 3: None, 4: 2}
     rest, log, report = ledger.purge_effect(q, t, F.col("batch_id") == "b1", 60)
     assert got(rest.select("id")) == [(3,)]  # restored history of file 1 is gone as well
     assert got(log.select("path", "size", "purged_at")) == [("q/a", 10, 60), ("q/b", 20, 60)] and got(report) == [("b1", 2, 30)]
-    cat, new, done = ledger.move_effect(files({"id": 1, "path": "x/n.jpg", "size": 3}, {"id": 2, "path": "y/n.jpg", "size": 4}), rows([(1,), (2,), (3,)], "id bigint"), "b9", "/q", 70)
-    assert tuple(done.head()) == (2, 1, 7) and {r.status for r in cat.collect()} == {"quarantined"}
-    assert {r.moved_path for r in new.collect()} == {"/q/n.jpg", "/q/n__1.jpg"}
+    f, ids = files({"id": 1, "path": "x/n.jpg", "size": 3}, {"id": 2, "path": "y/n.jpg", "size": 4}, {"id": 4, "path": "z/n.jpg", "size": 5}), rows([(1,), (2,), (3,), (4,), (4,)], "id bigint")
+    plan = ledger.plan_moves(f, ids, "b9", "/q/", rows([("n__1.jpg",)], "name string"), 70)
+    assert got(plan.select("file_id", "moved_path")) == [(1, "/q/n.jpg"), (2, "/q/n__2.jpg"), (4, "/q/n__3.jpg")]
+    cat, new, done = ledger.move_effect(f, ids, plan.withColumn("error", F.when(F.col("file_id") == 2, "gone")))
+    assert tuple(done.head()) == (2, 2, 8) and {r.id: r.status for r in cat.collect()} == {1: "quarantined", 2: "normal", 4: "quarantined"}
+    assert {r.file_id for r in new.collect()} == {1, 4} and new.columns == [c.split()[0] for c in LEDGER.split(", ")]
     assert ledger.dropped_by_association(10, 7, 2) == 1 and ledger.dropped_by_association(1, 7, 2) == 0
 
 
-def test_unique_names(rows):
-    m = rows([(1, "a/x.jpg"), (2, "b/x.jpg"), (3, "c/x__1.jpg"), (4, "d/x.jpg"), (5, "e/y"), (6, "f\\y")], "id bigint, p string")
-    out = {r.id: r.dest for r in ledger.unique_names(m, rows([("y",)], "name string"), "p", "id").collect()}
-    assert len(set(out.values())) == 6 and "y" not in out.values() and out[1] == "x.jpg" and out[3] == "x__1.jpg"
+def _walked(moves, taken):
+    """Names one after the other, as a single process would give them."""
+    used, out = set(taken), {}
+    for i, p in sorted(moves):
+        name = p.replace("\\", "/").rsplit("/", 1)[-1]
+        stem, dot, ext = name.rpartition(".")
+        if not stem:
+            stem, dot, ext = name, "", ""
+        dest, n = name, 0
+        while dest in used:
+            n += 1
+            dest = f"{stem}__{n}" + (f".{ext}" if ext else "")
+        used.add(dest)
+        out[i] = dest
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_unique_names(rows, seed):
+    rnd = random.Random(seed)
+    kin = ["x.jpg", "x__1.jpg", "x__1__1.jpg", "x__3.jpg"]
+    moves = [(i, rnd.choice("abc") + rnd.choice("/\\") + rnd.choice([*kin, "y", "z.png", "z.png", "z.png", ".h", "w.", "Y"])) for i in range(120)]
+    taken = ["x.jpg", "x__2.jpg", "y", "y__1", "y__3", "z__1.png", "z__2.png", "z__5.png", "z__01.png", "z__7.jpg", "w__1", "zz.png"]
+    out = {r.id: r.dest for r in ledger.unique_names(rows(moves, "id bigint, p string"), rows([(t,) for t in taken] + [(None,)], "name string"), "p", "id").collect()}
+    assert out == _walked(moves, taken)
+    plain = [m for m in moves if m[1][2:] in ("z.png", "y")]
+    out = {r.id: r.dest for r in ledger.unique_names(rows(plain, "id bigint, p string"), rows([(t,) for t in taken], "name string"), "p", "id").collect()}
+    assert out == _walked(plain, taken)
+    assert ledger.unique_names(rows([], "id bigint, p string"), rows([], "name string"), "p", "id").count() == 0
+    assert ledger.unique_names(rows([(1, None)], "id bigint, p string"), rows([], "name string"), "p", "id").head().dest is None
 
 
 def test_cache(rows, got):

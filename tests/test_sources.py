@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import pixels
-from shelfmark.sources import scan
+from shelfmark.functions import jpeg, pixels
+from shelfmark.library import Library
+from shelfmark.operators.filters import Filter
+from shelfmark.sources import scan, thumbs
 from shelfmark.sources.settings import Settings, load, save
 from shelfmark.streaming import ingest
 
@@ -36,12 +38,15 @@ def folder(tmp_path_factory):
     (d / "broken.jpg").write_bytes(b"\xff\xd8\xff\xe0" + b"junk" * 20)
     (d / "note.txt").write_text("x")
     (d / ".hidden.gif").write_bytes(b"GIF89a" + struct.pack("<HH", 7, 9) + b"\0" * 20)
+    (d / ".kept").mkdir()
+    (d / ".kept" / "_u.jpg").write_bytes(b"")
     return d
 
 
 def test_scan(spark, folder):
     out = {r.path.rsplit("/", 1)[1]: r for r in scan.scan(spark, [str(folder), str(folder / "sub")]).collect()}
-    assert set(out) == {"copy.PNG", "a.png", "12345678_p3.png", "gray.png", "broken.jpg"} or ".hidden.gif" in out
+    assert set(out) == {"copy.PNG", "a.png", "12345678_p3.png", "gray.png", "broken.jpg", ".hidden.gif", "_u.jpg"}
+    assert (out[".hidden.gif"].width, out[".hidden.gif"].height, out["_u.jpg"].size) == (7, 9, 0) and out["_u.jpg"].decode_error
     assert (out["a.png"].width, out["a.png"].height, out["a.png"].short_side, out["a.png"].format) == (150, 200, 150, "png")
     assert out["copy.PNG"].root.endswith("sub") and out["copy.PNG"].ext == "png"
     assert out["broken.jpg"].decode_error and out["broken.jpg"].width is None and out["12345678_p3.png"].pid == 12345678
@@ -117,3 +122,63 @@ def test_stream(spark, files, tmp_path):
     assert {(r.path, r.size) for r in ingest.newest_snapshot(spark, snapshots).collect()} == {("a", 2), ("b", 9), ("c", 1)}
     stats = spark.read.parquet(f"{snapshots}/stats").agg(F.sum("inserted"), F.sum("updated")).head()
     assert tuple(stats) == (3, 1)
+
+
+def test_thumbs(spark, folder, tmp_path):
+    import io
+
+    t = scan.scan(spark, [str(folder)]).where(F.col("path").endswith("a.png") | F.col("path").endswith("broken.jpg"))
+    images = spark.read.format("image").option("recursiveFileLookup", "true").load(str(folder))
+    cache = str(tmp_path / "cache")
+    done = {r.name: r.error for r in thumbs.make_thumbs(images, t, cache, 64).collect()}
+    assert sorted(map(bool, done.values())) == [False, True]
+    name = next(n for n, e in done.items() if e is None)
+    assert [r.name for r in thumbs.manifest(spark, cache).collect()] == [name]
+    # Spark's own reader decodes what was written, near the resized picture
+    back = spark.read.format("image").load(f"{cache}/{name}").head().image
+    got = pixels.rgb_of(back.height, back.width, back.nChannels, bytes(back.data)).astype(float)
+    want = thumbs.shrink(busy(200, 150), 64)
+    assert got.shape == want.shape == (64, 48, 3) and np.abs(got - want).mean() < 12
+    assert len(thumbs.make_thumbs(images, t, cache, 64).collect()) == 1  # only the broken one is still missing
+    assert tuple(thumbs.trim(spark, cache, 10).head())[0] == 1 and thumbs.manifest(spark, cache).count() == 0
+    assert thumbs.fitted(1, 900, 300) == (1, 300) and io.BytesIO(jpeg.encode(np.zeros((3, 5, 3)))).read(2) == b"\xff\xd8"
+
+
+def test_library(spark, folder, tmp_path):
+    import shutil
+
+    pics = tmp_path / "pics"
+    shutil.copytree(folder, pics)
+    lib = Library(spark, str(tmp_path / "home"))
+    with pytest.raises(ValueError):
+        lib.save_settings(Settings(roots=[str(pics)], quarantine_dir=str(pics / "q")))
+    lib.save_settings(Settings(roots=[str(pics)], quarantine_dir=str(tmp_path / "q"), thumb_edge=32))
+    assert tuple(lib.start_scan(now=100).head()) == (7, 7, 0, 0, 0, False)
+    assert tuple(lib.start_scan(now=101).head())[3] == 7
+    run = lib.start_fingerprint(now=102).head()
+    assert run.hashed >= 2 and run.done >= 4 and run.total >= run.done and lib.library_stats().head().total == 7
+    assert lib.start_fingerprint(now=103).head().total == 0
+    assert lib.count_files(Filter(only_duplicated=True)) == 2 and lib.format_stats().head().n >= 3
+    first = lib.query_files(Filter(limit=2)).collect()
+    rest = lib.query_files(Filter(), {"size": first[-1].size, "id": first[-1].id}).collect()
+    assert len(first) + len(rest) == 7 and lib.histogram("size").head().max >= 1
+    assert lib.sql("SELECT count(*) AS n FROM files WHERE ext = :ext", ext="png").head().n == 4
+    assert lib.rebuild_groups("exact", now=5) == 1 and lib.rebuild_groups("exact", now=6) == 1
+    assert lib.rebuild_groups("similar", now=6) >= 1 and lib.count_dup_groups("exact") == 1
+    shown = lib.list_dup_groups("exact").collect()
+    spare = next(r.file_id for r in shown if not r.keep)
+    lib.set_keeper(shown[0].group_id, spare)
+    assert {r.file_id for r in lib.list_dup_groups("exact").collect() if r.keep} == {spare}
+    ids = spark.createDataFrame([(spare,), (1,)], "id bigint")
+    assert tuple(lib.move_to_quarantine(ids, "b1", now=7).head())[:2] == (1, 1) and lib.count_files() == 6
+    assert lib.list_quarantine_batches().head().n == 1 and lib.quarantine_batch_files("b1").head().file_id == spare
+    assert tuple(lib.restore_batch("b1", now=8).head()) == (1, 0) and lib.count_files() == 7
+    assert lib.list_quarantine_batches().count() == 0
+    lib.move_to_quarantine(ids, "b2", now=9)
+    assert lib.purge_all_quarantine(now=10).head().purged == 1 and lib.count_files() == 6 and not any((tmp_path / "q").iterdir())
+    assert lib.store.read("delete_log").head().batch_id == "b2" and lib.store.read("quarantine").count() == 0
+    assert lib.make_thumbs().where("error is null").count() >= 3 and lib.thumb_cache_stats() > 0
+    one = lib.query_files(Filter(search="gray")).head()
+    assert lib.thumb(one.id)[:2] == b"\xff\xd8" and lib.preview(one.id) is None and lib.thumb(-1) is None
+    lib.make_previews(spark.createDataFrame([(one.id,)], "id bigint"))
+    assert lib.preview(one.id) and lib.trim_thumb_cache().head().removed == 0
