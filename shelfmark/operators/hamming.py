@@ -81,7 +81,7 @@ def ranks(counts: dict[int, int], parts: int) -> np.ndarray:
     return rank
 
 
-def route(fingerprints: DataFrame, payload: list[str], parts: int, radius: int, counts: dict[int, int], limit: int = 100_000, blocked: bool = True) -> DataFrame:
+def route(fingerprints: DataFrame, payload: list[str], parts: int, radius: int, counts: dict[int, int], limit: int = 100_000, blocked: bool = True, cut: list[int] | None = None) -> DataFrame:
     """Each fingerprint once per bucket: bucket, bits and the payload columns (bigints, none of them null).
 
     bucket is the prefix token. In buckets of more than `limit` fingerprints it also holds the next
@@ -89,14 +89,15 @@ def route(fingerprints: DataFrame, payload: list[str], parts: int, radius: int,
     cut into blocks by a hash of the fingerprint, and they go to every pair of blocks that has theirs.
     So no task gets more than about twice the limit, and no pair is lost. The number of blocks comes
     from these fingerprints alone; where two inputs are to meet, `blocked` is False for both, no
-    smaller bucket is cut, and in_blocks() cuts the two by one count.
+    smaller bucket is cut, and in_blocks() cuts the two by one count. cut: the tokens whose buckets
+    are to be divided by the next token, where counts and limit aren't to tell.
     """
     if not radius + 2 <= parts <= MOST_PARTS or parts < LEAST_PARTS:
         raise ValueError(f"{parts} parts don't do for a radius of {radius}")
     prefix = radius + 1
     rank = ranks(counts, parts)
     large = np.zeros(parts << 16, bool)
-    large[[t for t, n in counts.items() if n > limit]] = True
+    large[[t for t, n in counts.items() if n > limit] if cut is None else cut] = True
     any_large = bool(large.any())
 
     def spreading(blocks: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
