@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -9,23 +10,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import hamming
-from shelfmark.runtime import Written, shared_dir, shuffle_partitions
+from shelfmark.operators import hamming
+from shelfmark.runtime import Written, delete_path, shared_dir, shuffle_partitions
 from shelfmark.tables import current_files, phash_bits, valid_hash
 
-SLOTS = 16
+#: Rows that a slot of the index is planned for: slots grow in number with what is appended, not in size.
+SLOT_ROWS = 250_000
+#: Generations after which the next append puts all of them together.
+MOST_GENERATIONS = 16
+#: Distinct keys that are broadcast to leave out other rows before a shuffle, some 64 MB; beyond it they are joined.
+BROADCAST_KEYS = 2_000_000
 
 
 class PrefixIndex:
     """Inverted index of fingerprints' rare-token prefixes, on disk, partitioned by token.
 
     A posting is (bucket, bits, stamp): the fingerprint under one of its prefix tokens, and the
-    number of the batch that brought it first; content hashes are kept likewise. Tokens are ordered by how rare they were in the batch
-    that founded the index; the order is stored with it and never changes, as a prefix filter needs;
-    nor does the limit above which a token's bucket is cut by the next shared token. Postings are kept
-    uncut beyond that; probe() cuts what is too large, postings and probes by one count.
-    append() only writes the new batch's postings; probe() compares a batch with postings of its own
-    buckets and leaves the index as it is. Nothing is read of the batches' tables again.
+    number of the batch that brought it first; content hashes are kept likewise. Tokens are ordered by
+    how rare they were in the batch that founded the index; that order is stored and never changes,
+    as a prefix filter needs. Each append is a generation of its own, in slots by the hash of the
+    bucket, as many as its rows ask for. Tokens that more than `limit` of a generation's fingerprints
+    hold are divided there by the next shared token, and a probe is routed for each generation as
+    that was; so a token that grows hot later is divided from then on, and compact(), which puts
+    generations together and routes them anew, divides the rest.
+
+    append() writes the new batch's postings and reads nothing else; probe() opens the slots that the
+    batch's tokens name, and compares postings with the batch, not with each other.
     """
 
     def __init__(self, spark: SparkSession, path: str, radius: int = 6, limit: int = 100_000):
@@ -35,42 +45,106 @@ class PrefixIndex:
         """Start the index with the token order of these fingerprints (column bits)."""
         parts = hamming.plan_parts(rows, self.radius)
         counts = hamming.token_counts(fingerprints, parts)
-        data = [(parts, self.limit, int(t), int(n)) for t, n in counts.items()] or [(parts, self.limit, 0, 0)]
-        self.spark.createDataFrame(data, "parts int, cut_above bigint, token int, n bigint").coalesce(1).write.parquet(f"{self.path}/order")
+        data = [(parts, int(t), int(n)) for t, n in counts.items()] or [(parts, 0, 0)]
+        self.spark.createDataFrame(data, "parts int, token int, n bigint").coalesce(1).write.parquet(f"{self.path}/order")
         return self
 
-    def _order(self) -> tuple[int, int, dict[int, int]]:
-        rows = self.spark.read.parquet(f"{self.path}/order").collect()
-        return rows[0]["parts"], rows[0]["cut_above"], {r["token"]: r["n"] for r in rows}
+    def drop(self) -> None:
+        delete_path(self.spark, self.path)
 
-    def _routed(self, fingerprints: DataFrame, payload: str) -> DataFrame:
-        parts, cut_above, counts = self._order()
-        return hamming.route(fingerprints, payload, parts, self.radius, counts, cut_above, blocked=False)
+    def _order(self) -> tuple[int, dict[int, int]]:
+        rows = self.spark.read.parquet(f"{self.path}/order").collect()
+        return rows[0]["parts"], {r["token"]: r["n"] for r in rows}
+
+    def generations(self, part: str) -> list[tuple[int, int]]:
+        """(number, slots) of the generations of postings or hashes that are written to the end."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        found = [s.getPath() for s in fs.listStatus(folder)]
+        return sorted(tuple(map(int, p.getName().split("."))) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _cut(self, number: int) -> list[int]:
+        """The tokens that a generation divides."""
+        return [r["token"] for r in self.spark.read.parquet(f"{self.path}/cut/{number}").collect()]
 
     def append(self, fingerprints: DataFrame) -> None:
         """Add postings of distinct fingerprints: bits and stamp."""
-        postings = self._routed(fingerprints, "stamp").select("bucket", "bits", F.col("extra").cast("int").alias("stamp"))
-        self._add(postings, "bucket", "postings")
+        have = self.generations("postings")
+        if len(have) >= MOST_GENERATIONS:
+            self.compact()
+            have = self.generations("postings")
+        self._generation(fingerprints, 1 + max((n for n, _ in have), default=0))
+
+    def _generation(self, fingerprints: DataFrame, number: int) -> None:
+        parts, counts = self._order()
+        cut = [(t,) for t, n in hamming.token_counts(fingerprints, parts).items() if n > self.limit]
+        self.spark.createDataFrame(cut, "token int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cut/{number}")
+        routed = hamming.route(fingerprints, ["stamp"], parts, self.radius, counts, self.limit, blocked=False, cut=[t for (t,) in cut])
+        self._add(routed.select("bucket", "bits", F.col("stamp").cast("int").alias("stamp")), "bucket", "postings", number, fingerprints.count() * (self.radius + 1))
 
     def append_hashes(self, hashes: DataFrame) -> None:
         """Add distinct content hashes: hash and stamp."""
-        self._add(hashes.select("hash", F.col("stamp").cast("int").alias("stamp")), "hash", "hashes")
-
-    def _add(self, rows: DataFrame, key: str, part: str) -> None:
-        rows.withColumn("slot", _slot(key)).repartition(SLOTS, "slot").sortWithinPartitions("slot", key).write.mode("append").partitionBy("slot").option("compression", "zstd").parquet(f"{self.path}/{part}")
-
-    def _named(self, part: str, schema: str, key: str, asking: DataFrame) -> DataFrame:
-        """Rows of the index in the slots that the asking rows' keys fall in; other slots' files are not opened."""
-        slots = [r["slot"] for r in asking.select(_slot(key).alias("slot")).distinct().collect()]
-        return self.spark.read.schema(f"{schema}, slot int").parquet(f"{self.path}/{part}").where(F.col("slot").isin(slots)).drop("slot")
+        number = 1 + max((n for n, _ in self.generations("hashes")), default=0)
+        self._add(hashes.select("hash", F.col("stamp").cast("int").alias("stamp")), "hash", "hashes", number, hashes.count())
+
+    def _add(self, rows: DataFrame, key: str, part: str, number: int, expected: int) -> None:
+        slots = max(1, -(-expected // SLOT_ROWS))
+        placed = rows.withColumn("slot", _slot(key, slots)).repartition(slots, "slot").sortWithinPartitions("slot", key)
+        placed.write.mode("overwrite").partitionBy("slot").option("compression", "zstd").parquet(f"{self.path}/{part}/{number}.{slots}")
+
+    def compact(self) -> None:
+        """Put all generations together as one, routed anew. Should it break off, what is there twice does no harm."""
+        for part, schema in (("postings", _POSTINGS), ("hashes", _HASHES)):
+            old = self.generations(part)
+            if len(old) < 2:
+                continue
+            rows = reduce(DataFrame.unionByName, (self._read(part, schema, g) for g in old))
+            number = old[-1][0] + 1
+            if part == "postings":
+                prints = Written(rows.groupBy("bits").agg(F.min("stamp").cast("bigint").alias("stamp")), "fingerprints")
+                self._generation(prints.df, number)
+                prints.drop()
+            else:
+                self._add(rows, "hash", part, number, rows.count())
+            for n, slots in old:
+                delete_path(self.spark, f"{self.path}/{part}/{n}.{slots}")
+
+    def _read(self, part: str, schema: str, generation: tuple[int, int]) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, slot int").parquet(f"{self.path}/{part}/{generation[0]}.{generation[1]}").drop("slot")
+
+    def _named(self, part: str, schema: str, key: str, keys: DataFrame) -> DataFrame:
+        """Rows of the index in the slots that the distinct keys fall in; other slots' files are not opened."""
+        generations = self.generations(part)
+        sizes = sorted({slots for _, slots in generations if slots > 1})
+        # at most a number per slot
+        named = keys.agg(*(F.collect_set(_slot(key, n)).alias(str(n)) for n in sizes)).head().asDict() if sizes else {}
+        out = self.spark.createDataFrame([], schema)
+        for n, slots in generations:
+            rows = self.spark.read.schema(f"{schema}, slot int").parquet(f"{self.path}/{part}/{n}.{slots}")
+            if slots > 1 and len(named[str(slots)]) < slots:
+                rows = rows.where(F.col("slot").isin(named[str(slots)]))
+            out = out.unionByName(rows.drop("slot"))
+        return out
 
     def postings_for(self, probes: DataFrame) -> DataFrame:
-        """(bucket, bits, stamp) of the buckets that the probes are in. Buckets are parts' values or pairs of them, few enough to broadcast."""
-        return self._named("postings", "bucket bigint, bits bigint, stamp int", "bucket", probes).join(F.broadcast(probes.select("bucket").distinct()), "bucket", "left_semi")
+        """(bucket, bits, stamp) of the buckets that the probes are in."""
+        buckets = probes.select("bucket").distinct()
+        few = buckets.count() <= BROADCAST_KEYS
+        return self._named("postings", _POSTINGS, "bucket", buckets).join(F.broadcast(buckets) if few else buckets, "bucket", "left_semi")
 
     def known_hashes(self, hashes: DataFrame) -> DataFrame:
         """(hash) of the distinct hashes asked for that the index holds."""
-        return hashes.select("hash").join(self._named("hashes", "hash binary, stamp int", "hash", hashes), "hash", "left_semi")
+        return hashes.select("hash").join(self._named("hashes", _HASHES, "hash", hashes), "hash", "left_semi")
+
+    def routed_probes(self, fingerprints: DataFrame) -> DataFrame:
+        """bucket, bits, stamp of the fingerprints, as the generations have theirs."""
+        parts, counts = self._order()
+        ways = {tuple(sorted(self._cut(n))) for n, _ in self.generations("postings")} or {()}
+        routes = [hamming.route(fingerprints, ["stamp"], parts, self.radius, counts, self.limit, blocked=False, cut=list(cut)) for cut in sorted(ways)]
+        return routes[0] if len(routes) == 1 else reduce(DataFrame.unionByName, routes).distinct()
 
     def probe(self, fingerprints: DataFrame) -> DataFrame:
         """(bits, first, known): the smallest stamp among postings within the radius, of the fingerprints that have one below their own `stamp`; known if one of these is equal.
@@ -79,18 +153,18 @@ class PrefixIndex:
         count. Only postings of buckets that a fingerprint is in are shuffled, and only fingerprints
         and postings are compared, not postings with each other.
         """
-        parts, _, counts = self._order()
+        parts, counts = self._order()
         rank = hamming.ranks(counts, parts)
-        probes = Written(self._routed(fingerprints, "stamp").withColumn("extra", F.col("extra") * 2 + 1), "probes").df
+        probes = Written(self.routed_probes(fingerprints).withColumn("extra", F.col("stamp") * 2 + 1).drop("stamp"), "probes").df
         postings = self.postings_for(probes).select("bucket", "bits", (F.col("stamp").cast("bigint") * 2).alias("extra"))
         radius = self.radius
 
-        def work(bucket: int, bits: np.ndarray, extra: np.ndarray) -> pa.RecordBatch | None:
+        def work(bucket: int, bits: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
             first = np.argsort(extra & 1 ^ 1, kind="stable")  # who asks comes first, in each run too
             bits, extra = bits[first], extra[first]
             asks, stamp = (extra & 1) == 1, (extra >> 1).astype(np.int32)
             if not asks.any() or asks.all():
-                return None
+                return
             best = np.full(len(bits), np.iinfo(np.int32).max, np.int32)
             known = np.zeros(len(bits), bool)
             for rows, starts, lengths in hamming.runs_of(bucket, bits, parts, radius, rank):
@@ -112,9 +186,8 @@ class PrefixIndex:
                     np.minimum.at(best, rows[p[good]], s[q[good]])
                     known[rows[p[good[d[good] == 0]]]] = True
             hit = np.flatnonzero(asks & (best < stamp))
-            if not len(hit):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(bits[hit]), pa.array(best[hit]), pa.array(known[hit])], ["bits", "first", "known"])
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(bits[hit]), pa.array(best[hit]), pa.array(known[hit])], ["bits", "first", "known"])
 
         postings, probes = hamming.in_blocks(postings, probes, self.limit)
         both = postings.unionByName(probes).repartition(shuffle_partitions(self.spark), "bucket").sortWithinPartitions("bucket")
@@ -122,8 +195,11 @@ class PrefixIndex:
         return near.groupBy("bits").agg(F.min("first").alias("first"), F.max("known").alias("known"))
 
 
-def _slot(key: str) -> Column:
-    return F.pmod(F.hash(key), F.lit(SLOTS))
+_POSTINGS, _HASHES = "bucket bigint, bits bigint, stamp int", "hash binary, stamp int"
+
+
+def _slot(key: str, slots: int) -> Column:
+    return F.pmod(F.hash(key), F.lit(slots))
 
 
 def batch_of(scanned_at: Column, batches: DataFrame) -> Column:
@@ -147,14 +223,15 @@ def batch_files(files: DataFrame, batches: DataFrame) -> DataFrame:
     return current_files(files, columns).where(F.col("batch").isNotNull() & (F.col("hash").isNotNull() | F.col("bits").isNotNull()))
 
 
-def repeats_of_earlier(rows: DataFrame, index: PrefixIndex, history: int = 0) -> DataFrame:
+def repeats_of_earlier(rows: DataFrame, index: PrefixIndex, history: int = 0, keep: bool = True) -> DataFrame:
     """(file_id) of the rows (id, batch, hash, bits) that repeat an earlier batch's hash or come near its fingerprint.
 
     The history founds the index; then each later batch, in order, probes it and is appended. The
     work for a batch is its own rows and the buckets and slots of the index that they name. Equal
     hashes and fingerprints are one row each before anything is joined, so hot values cost one row,
     and what the index holds already isn't added again. Rows without a hash are judged by the
-    fingerprint alone and the other way round; rows of the first batch never count.
+    fingerprint alone and the other way round; rows of the first batch never count. Without keep
+    the last batch isn't appended, as nothing comes after it.
     """
     prints = lambda df: df.where(F.col("bits").isNotNull()).groupBy("bits").agg(F.min("batch").cast("bigint").alias("stamp"))
     hashes = lambda df: df.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("batch").cast("bigint").alias("stamp"))
@@ -167,12 +244,15 @@ def repeats_of_earlier(rows: DataFrame, index: PrefixIndex, history: int = 0) ->
     later = sorted(r["batch"] for r in rows.where(F.col("batch") > history).select("batch").distinct().collect())
     for n in later:
         batch = rows.where(F.col("batch") == n)
-        new, new_hashes = Written(prints(batch), "fingerprints").df, Written(hashes(batch), "hashes").df
-        close, held = Written(index.probe(new), "near").df, Written(index.known_hashes(new_hashes), "same").df
+        new, new_hashes = Written(prints(batch), "fingerprints"), Written(hashes(batch), "hashes")
+        close, held = Written(index.probe(new.df), "near").df, Written(index.known_hashes(new_hashes.df), "same").df
         near.append(close.select("bits", F.lit(n).alias("batch")))
         same.append(held.select("hash", F.lit(n).alias("batch")))
-        index.append(new.join(close.where("known"), "bits", "left_anti"))
-        index.append_hashes(new_hashes.join(held, "hash", "left_anti"))
+        if n != later[-1] or keep:
+            index.append(new.df.join(close.where("known"), "bits", "left_anti"))
+            index.append_hashes(new_hashes.df.join(held, "hash", "left_anti"))
+        new.drop()
+        new_hashes.drop()
     if not later:
         return rows.where("false").select(F.col("id").alias("file_id"))
     late = rows.where(F.col("batch") > history)
@@ -182,7 +262,16 @@ def repeats_of_earlier(rows: DataFrame, index: PrefixIndex, history: int = 0) ->
 
 
 def repeated_files(files: DataFrame, batches: DataFrame, radius: int = 6) -> DataFrame:
+    """repeats_of_earlier() for the catalogue's batches, by an index that lives as long as the call.
+
+    Membership in a batch goes by current rows, so that a later scan takes a file out of an earlier
+    batch; an index kept from an earlier state of the table would still hold it. Where batches are
+    final, keep a PrefixIndex and give it each batch as it comes.
+    """
     spark = files.sparkSession
     rows = Written(batch_files(files, batches).sortWithinPartitions("batch"), "batch-files")
     index = PrefixIndex(spark, f"{shared_dir(spark)}/prefix-index-{rows.path.rpartition('-')[2]}", radius)
-    return repeats_of_earlier(rows.df, index)
+    try:
+        return repeats_of_earlier(rows.df, index, keep=False)
+    finally:
+        index.drop()

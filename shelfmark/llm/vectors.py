@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm import hamming
+from shelfmark.operators import hamming
 from shelfmark.runtime import Written, shuffle_partitions
 from shelfmark.tables import current_files, phash_bits
 
@@ -19,17 +19,65 @@ from shelfmark.tables import current_files, phash_bits
 TILE_CELLS = 2_000_000
 
 
-def sign_codes(bits: np.ndarray) -> np.ndarray:
-    """int8 codes of 64-bit fingerprints: +1 and -1 per bit. Here quantisation loses nothing: its error bound is 0."""
-    by_byte = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1)
-    return (by_byte.astype(np.int8) << 1) - 1
+class Heaps:
+    """The k nearest partners of each of n rows, as n heaps side by side: nearer first, then smaller tie.
+
+    A candidate that the worst of its row's heap beats is dropped before anything is sorted, and a
+    partner that comes again counts once. So memory is n times k and one chunk of candidates.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.d, self.tie, self.at = np.full((n, k), np.iinfo(np.int32).max, np.int32), np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -1)
+
+    def push(self, rows: np.ndarray, partners: np.ndarray, d: np.ndarray, tie: np.ndarray) -> None:
+        worst, last = self.d[rows, -1], self.tie[rows, -1]
+        ok = np.flatnonzero((d < worst) | ((d == worst) & (tie < last)))
+        if not len(ok):
+            return
+        touched = np.unique(rows[ok])
+        held = self.at[touched] >= 0
+        row = np.concatenate((np.repeat(touched, held.sum(axis=1)), rows[ok]))
+        d, tie, at = (np.concatenate((own[touched][held], new[ok])) for own, new in ((self.d, d), (self.tie, tie), (self.at, partners)))
+        order = np.lexsort((tie, d, row))
+        row, d, tie, at = row[order], d[order], tie[order], at[order]
+        fresh = np.concatenate(([True], (row[1:] != row[:-1]) | (tie[1:] != tie[:-1])))
+        row, d, tie, at = row[fresh], d[fresh], tie[fresh], at[fresh]
+        first = np.concatenate(([True], row[1:] != row[:-1]))
+        place = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+        top = place < self.k
+        to = (row[top], place[top])
+        self.d[to], self.tie[to], self.at[to] = d[top], tie[top], at[top]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, partner, distance, tie) of all that is held."""
+        row, place = np.nonzero(self.at >= 0)
+        return row, self.at[row, place], self.d[row, place], self.tie[row, place]
+
+
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes of unit vectors, their scales and the lengths of what rounding took away."""
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-30) / 127
+    codes = np.rint(x / scale[:, None]).astype(np.int8)
+    lost = np.linalg.norm(x - codes * scale[:, None], axis=1)
+    return codes, scale, lost
+
+
+def error_bound(lost_a: np.ndarray | float, lost_b: np.ndarray | float) -> np.ndarray | float:
+    """By how much the product of two unit vectors can differ from that of their codes; the last term is for rounding in float32."""
+    return lost_a + lost_b + lost_a * lost_b + 1e-6
+
+
+def sign_vectors(bits: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints as unit vectors, a bit as a sign: two that differ in d bits have the product 1 - d / 32."""
+    return (np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1) / 8
 
 
 def tile_pairs(codes: np.ndarray, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ordered pairs (a, b), a != b, within each run of rows whose int8 codes have a product of at least `least`.
 
     Runs are padded to tiles of equal width and multiplied as one batch; longer runs go tile by tile.
-    Products of int8 codes are sums of whole numbers below 2^24, which float32 holds exactly.
+    Products of 64 int8 codes are whole numbers below 2^24, which float32 holds exactly.
     """
     width = 1 << np.ceil(np.log2(lengths)).astype(int)
     for w in np.unique(width):
@@ -65,36 +113,52 @@ def nearest_fingerprints(fingerprints: DataFrame, radius: int, k: int, parts: in
     """For every distinct fingerprint the first k others within `radius` bits, nearer first, then smaller least id.
 
     fingerprints: distinct bits (bigint) and least (the smallest id that has them). The result is
-    bits, other, distance. Exact: blocks come from shared parts (module hamming), in which every pair
-    within the radius meets. Each block is a tile of int8 products; pairs that pass are recomputed on
-    the fingerprints themselves, cut to the k best per row and block, and merged.
+    bits, other, distance. Exact: blocks come from shared parts (module operators.hamming), in which
+    every pair within the radius meets. A block's vectors are quantised to int8 and multiplied tile
+    by tile; a pair is dropped if even with the bound on the quantisation error its product is too
+    small, all others are recomputed on the fingerprints. Each row of a block keeps a heap of its k
+    best, and the heaps of all blocks are merged by fingerprint.
     """
     spark = fingerprints.sparkSession
     parts = parts or hamming.plan_parts(fingerprints.count(), radius)
     counts = hamming.token_counts(fingerprints, parts)
     rank = hamming.ranks(counts, parts)
-    routed = hamming.route(fingerprints, "least", parts, radius, counts, limit).repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
-
-    def work(bucket: int, bits: np.ndarray, least: np.ndarray) -> pa.RecordBatch | None:
-        codes = sign_codes(bits)
-        found = [x for rows, starts, lengths in hamming.runs_of(bucket, bits, parts, radius, rank) for x in tile_pairs(codes, rows, starts, lengths, 64 - 2 * radius)]
-        a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
-        if not len(a):
-            return None
-        d = hamming.distance(bits[a], bits[b])
-        # a pair that met in several blocks is adjacent to itself after the sort
-        order = np.lexsort((least[b], d, a))
-        a, b, d = a[order], b[order], d[order]
-        fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        a, b, d = a[fresh], b[fresh], d[fresh]
-        place = np.arange(len(a)) - np.maximum.accumulate(np.where(np.concatenate(([True], a[1:] != a[:-1])), np.arange(len(a)), 0))
-        top = place < k
-        a, b, d = a[top], b[top], d[top]
-        return pa.RecordBatch.from_arrays([pa.array(bits[a]), pa.array(bits[b]), pa.array(d), pa.array(least[b])], ["bits", "other", "distance", "least"])
-
-    best = routed.mapInArrow(hamming.by_bucket(work), "bits bigint, other bigint, distance int, least bigint").distinct()
-    nth = F.row_number().over(Window.partitionBy("bits").orderBy("distance", "least"))
-    return best.withColumn("nth", nth).where(F.col("nth") <= k).select("bits", "other", "distance")
+    routed = hamming.route(fingerprints, ["least"], parts, radius, counts, limit).repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
+
+    def work(bucket: int, bits: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes, scale, lost = quantise(sign_vectors(bits))
+        worth = (1 - radius / 32 - error_bound(lost.max(), lost.max())) / scale.max() ** 2
+        heaps = Heaps(len(bits), k)
+        for rows, starts, lengths in hamming.runs_of(bucket, bits, parts, radius, rank):
+            for a, b in tile_pairs(codes, rows, starts, lengths, worth):
+                d = hamming.distance(bits[a], bits[b])
+                near = np.flatnonzero(d <= radius)
+                heaps.push(a[near], b[near], d[near], least[b[near]])
+        row, at, d, tie = heaps.rows()
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array(bits[row]), pa.array(bits[at]), pa.array(d), pa.array(tie)], ["bits", "other", "distance", "least"])
+
+    def best(bits: np.ndarray, other: np.ndarray, d: np.ndarray, tie: np.ndarray) -> list[np.ndarray]:
+        own, row = np.unique(bits, return_inverse=True)
+        heaps = Heaps(len(own), k)
+        heaps.push(row, np.arange(len(other)), d, tie)
+        row, at, d, tie = heaps.rows()
+        return [own[row], other[at], d, tie]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int64)]
+        for b in batches:
+            if b.num_rows:
+                all_ = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, b.columns)]
+                cut = int(np.searchsorted(all_[0], all_[0][-1]))
+                if cut:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(*(c[:cut] for c in all_))[:3]], ["bits", "other", "distance"])
+                held = best(*(c[cut:] for c in all_))
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[:3]], ["bits", "other", "distance"])
+
+    found = routed.mapInArrow(hamming.by_bucket(work), "bits bigint, other bigint, distance int, least bigint")
+    return found.repartition(shuffle_partitions(spark), "bits").sortWithinPartitions("bits").mapInArrow(merge, "bits bigint, other bigint, distance int")
 
 
 def nearest_files(files: DataFrame, k: int = 5, radius: int = 6, parts: int | None = None, limit: int = 100_000) -> DataFrame:
@@ -123,14 +187,6 @@ def neighbour_pairs(near: DataFrame) -> DataFrame:
     return near.select(F.least("file_id", "other_id").alias("file_a"), F.greatest("file_id", "other_id").alias("file_b")).distinct()
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes of unit vectors, their scales and the lengths of what rounding took away."""
-    scale = np.maximum(np.abs(x).max(axis=1), 1e-30) / 127
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
-    lost = np.linalg.norm(x - codes * scale[:, None], axis=1)
-    return codes, scale, lost
-
-
 def most_similar(vectors: DataFrame, key: str, vector: str, k: int, queries: DataFrame, block: int = 4096) -> DataFrame:
     """(query_id, other_id, similarity): the k vectors of greatest cosine to each query, itself left out; ties to the smaller id.
 
@@ -166,7 +222,7 @@ def most_similar(vectors: DataFrame, key: str, vector: str, k: int, queries: Dat
         a, b, qi, vi = unit(q["x"]), unit(v["x"]), q["id"].to_numpy(), v["id"].to_numpy()
         (ca, sa, ea), (cb, sb, eb) = quantise(a), quantise(b)
         rough = (ca.astype(np.float32) @ cb.astype(np.float32).T) * sa[:, None] * sb[None, :]
-        error = ea[:, None] + eb[None, :] + ea[:, None] * eb[None, :] + 1e-6
+        error = error_bound(ea[:, None], eb[None, :])
         low = np.where(qi[:, None] == vi[None, :], -np.inf, rough - error)
         floor = np.partition(low, -min(k, low.shape[1]), axis=1)[:, -min(k, low.shape[1])]
         i, j = np.nonzero((rough + error >= floor[:, None]) & (qi[:, None] != vi[None, :]))

@@ -1,5 +1,6 @@
 """Operators for training data against brute force, with the edge cases each defines."""
 
+import itertools
 import random
 import re
 import uuid
@@ -88,10 +89,33 @@ def test_long_runs_go_tile_by_tile():
     rnd = np.random.default_rng(1)
     bits = rnd.integers(-(2**63), 2**63, 1500)
     bits[700] = bits[3] ^ 5
-    pairs = {(a, b) for p, q in vectors.tile_pairs(vectors.sign_codes(bits), np.arange(1500), np.array([0]), np.array([1500]), 64 - 12) for a, b in zip(p.tolist(), q.tolist())}
+    codes, scale, lost = vectors.quantise(vectors.sign_vectors(bits))
+    assert lost.max() < 1e-6
+    pairs = {(a, b) for p, q in vectors.tile_pairs(codes, np.arange(1500), np.array([0]), np.array([1500]), 52 * 127**2) for a, b in zip(p.tolist(), q.tolist())}
     assert pairs == {(3, 700), (700, 3)}
 
 
+def test_heaps():
+    rnd = np.random.default_rng(4)
+    rows, others, d = rnd.integers(0, 40, 6000), rnd.integers(0, 300, 6000), rnd.integers(0, 7, 300)
+    heaps = vectors.Heaps(40, 5)
+    for part in np.array_split(np.arange(6000), 17):
+        heaps.push(rows[part], others[part], d[others[part]].astype(np.int32), others[part] * 10)
+    want = {(r, o) for r in range(40) for o in sorted(set(others[rows == r].tolist()), key=lambda o: (d[o], o))[:5]}
+    row, at, dist, tie = heaps.rows()
+    assert set(zip(row.tolist(), at.tolist())) == want and (d[at] == dist).all() and (tie == at * 10).all()
+
+
+def test_dense_cluster_of_fingerprints(rows):
+    # 20,000 distinct fingerprints within 6 bits of each other
+    base = 0x0123456789ABCDEF
+    picks = [sum(1 << b for b in c) for n in (1, 2, 3) for c in itertools.combinations(range(50), n)][:20_000]
+    t = rows([(base ^ m, i) for i, m in enumerate(picks)], "bits bigint, least bigint")
+    out = vectors.nearest_fingerprints(t, 6, 3).where(F.col("bits") == base ^ 1).orderBy("distance", "other").collect()
+    near = sorted((bin(m ^ 1).count("1"), i) for i, m in enumerate(picks) if m != 1)[:3]
+    assert [(r.distance, r.other) for r in out] == sorted((d, base ^ picks[i]) for d, i in near)
+
+
 @pytest.mark.parametrize("block", [4096, 37])
 def test_most_similar(rows, block):
     rnd = np.random.default_rng(2)
@@ -250,10 +274,37 @@ def test_batches_are_probed_and_appended_one_by_one(spark, rows):
     assert {r.file_id for r in increments.repeats_of_earlier(t, index).collect()} == {3, 5, 6}
     # a of batch 1 is in the index already
     assert calls == [("append", [a, b]), ("probe", sorted([a, c])), ("append", [c]), ("probe", [c ^ 3]), ("append", [c ^ 3])]
-    assert sorted(bytes(r.hash) for r in spark.read.parquet(f"{index.path}/hashes").collect()) == [b"x", b"y"]
-    probes = index._routed(rows([(c, 3)], "bits bigint, stamp bigint"), "stamp")
+    assert sorted(bytes(r.hash) for r in index._named("hashes", increments._HASHES, "hash", rows([(b"x",), (b"y",)], "hash binary")).collect()) == [b"x", b"y"]
+    probes = index.routed_probes(rows([(c, 3)], "bits bigint, stamp bigint"))
     met = {r.bucket for r in index.postings_for(probes).collect()}
     assert met and met <= {r.bucket for r in probes.collect()}
+    index.compact()
+    assert len(index.generations("postings")) == len(index.generations("hashes")) == 1
+    assert {r.bits for r in index.probe(rows([(c ^ 7, 3)], "bits bigint, stamp bigint")).collect()} == {c ^ 7}
+    index.drop()
+    assert index.generations("postings") == []
+
+
+def test_index_of_buckets_that_outgrow_the_limit(spark, rows, monkeypatch):
+    # all share their two lowest parts; a probe differs from its one old neighbour in the other six
+    monkeypatch.setattr(increments, "SLOT_ROWS", 200)
+    monkeypatch.setattr(increments, "MOST_GENERATIONS", 4)
+    rnd = random.Random(1)
+    old = [rnd.getrandbits(48) << 16 | 0xABCD for _ in range(600)]
+    new = [x ^ sum(1 << (8 * k + rnd.randrange(8)) for k in range(2, 8)) for x in old[::6]]
+    signed = lambda xs, stamp: rows([(x - 2**64 if x >= 2**63 else x, stamp) for x in xs], "bits bigint, stamp bigint")
+    want = {x for x in new if any(bin(x ^ y).count("1") <= 6 for y in old)}
+    assert want == set(new)
+    for steps in ([600], [5, 95, 250, 50, 40, 60, 100]):
+        index = increments.PrefixIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", 6, 40).found(signed(old[: steps[0]], 0), steps[0])
+        at = 0
+        for n in steps:
+            index.append(signed(old[at : at + n], 0))
+            at += n
+        assert {x.bits % 2**64 for x in index.probe(signed(new, 1)).collect()} == want
+        assert len(index.generations("postings")) <= 4 and max(s for _, s in index.generations("postings")) > 1
+        index.compact()
+        assert {x.bits % 2**64 for x in index.probe(signed(new, 1)).collect()} == want
 
 
 def test_repeated_files_of_nothing(rows, files):
