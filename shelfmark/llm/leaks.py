@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,98 +35,125 @@ def dialogue_words(text: str | None) -> list[str]:
     return words_of(BRACKETS.sub(" ", DROPPED_LINE.sub("", text)))
 
 
-def _shingles(ids: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of `size` word numbers."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    n = len(ids) - size + 1
+class Numbers(dict):
+    """64-bit numbers of words, the same in every process; it starts anew when it has grown large."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = n = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return n
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _shingles(numbers: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of `size` words."""
+    n = len(numbers) - size + 1
     out = np.zeros(max(n, 0), np.uint64)
     for k in range(size):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + x[k : k + n]
+        out = out * np.uint64(0xD6E8FEB86659FD93) + numbers[k : k + n]
+    return out ^ (out >> np.uint64(32))
+
+
+#: Bits of the filter of the items' shingles for each of them, and the places it looks at.
+BITS_EACH, LOOKS = 32, 4
+#: The filter's greatest size, 32 MB. With more shingles than it is made for it lets more through and loses none.
+FILTER_BITS = 1 << 28
+
+
+def shingle_filter(shingles: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter, as 64-bit words, of distinct shingle hashes (column h), put together where they are; at most `most` bits come to the driver."""
+    bits = 64
+    while bits < min(most, BITS_EACH * shingles.count()):
+        bits *= 2
+    low, high = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))
+    places = shingles.select(F.explode(F.array(*((low + high * k).bitwiseAND(F.lit(bits - 1)) for k in range(LOOKS)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return out
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, words: int = 12, shingle: int = 5, block_words: int = 2_000_000) -> DataFrame:
+def in_filter(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be in the filter."""
+    at, mask = np.arange(len(h)), np.uint64(len(words) * 64 - 1)
+    for k in range(LOOKS):
+        x = h[at]
+        p = ((x & np.uint64(0xFFFFFFFF)) + ((x >> np.uint64(32)) | np.uint64(1)) * np.uint64(k)) & mask
+        at = at[(words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+    return at
+
+
+def item_windows(items: DataFrame, words: int, shingle: int) -> DataFrame:
+    """item_id, window (its words), shingles (their hashes) of every run of `words` words of a passage, distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers()
+        for b in batches:
+            out = []
+            for item, passage in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = words_of(passage)
+                h = _shingles(numbers.of(own), shingle).view(np.int64)
+                out += [(item, own[i : i + words], h[i : i + words - shingle + 1].tolist()) for i in range(len(own) - words + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["item_id", "window", "shingles"])
+
+    known = items.select(F.col("item_id").cast("bigint"), "passage").dropna().distinct()
+    return known.mapInArrow(run, "item_id bigint, window array<string>, shingles array<bigint>").distinct()
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, words: int = 12, shingle: int = 5, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id): documents that hold `words` consecutive words of an item's passage, markup and timing of the document left out.
 
     documents: doc_id, text. items: item_id, passage. Null and empty texts and passages hold nothing,
     passages of fewer than `words` words can't leak; rows with null ids are left out, repeated rows
-    count once. Items are worked through in blocks of at most `block_words` words, each a broadcast
-    of bounded size, whatever the number of items.
+    count once. Items stay a table, however many; the corpus is read once.
 
     A window of `words` words is contained only if all its shingles are, so its rarest one is the
-    necessary prefix. One pass over the corpus keeps, of each document, the stretches all of whose
-    shingles occur in items; over those, which hold every occurrence of an item's shingle in any
-    document, shingles are counted by document. A window with a shingle that no document has is
-    dropped; the others are joined by their rarest shingle, a hit must leave room for the whole
-    window in its stretch (length and position), and the words are compared one by one.
+    necessary prefix. The pass over the corpus keeps the places whose shingle is in a filter of the
+    items' shingles, of bounded size, with the words around them. Over these, which hold every
+    occurrence of an item's shingle, shingles are counted by document. A window with a shingle that no
+    document has is dropped; the others are joined by their rarest shingle, a hit must leave room for
+    the whole window in its document (length and position), and the words are compared one by one.
     """
-    assert words >= shingle
+    if words < shingle:
+        raise ValueError("a window must hold a shingle")
     spark = documents.sparkSession
-    passages = [(r["item_id"], w) for r in items.select("item_id", "passage").dropna().distinct().toLocalIterator() if len(w := words_of(r["passage"])) >= words]
-    results, block, n = [], [], 0
-    for item in [*passages, None]:
-        if block and (item is None or n + len(item[1]) > block_words):
-            results.append(_leaks(documents, block, words, shingle))
-            block, n = [], 0
-        if item is not None:
-            block.append(item)
-            n += len(item[1])
-    if not results:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint")
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.distinct()
-
-
-def _leaks(documents: DataFrame, passages: list[tuple[int, list[str]]], words: int, shingle: int) -> DataFrame:
-    spark = documents.sparkSession
-    number = {w: i for i, w in enumerate(sorted({w for _, p in passages for w in p}))}
-    known = np.unique(np.concatenate([_shingles(np.array([number[w] for w in p]), shingle) for _, p in passages]))
-    shared = spark.sparkContext.broadcast((number, known))
+    windows = Written(item_windows(items, words, shingle), "windows").df
+    asked = Written(windows.select(F.explode("shingles").alias("h")).distinct(), "shingles").df
+    shared = spark.sparkContext.broadcast(shingle_filter(asked, filter_bits))
+    before = words - shingle
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = shared.value
-        get = number.get
+    def hits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, numbers = shared.value, Numbers()
         for b in batches:
-            docs, at, found = [], [], []
+            docs, hashes, backs, contexts = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = dialogue_words(text)
                 if doc is None or len(own) < shingle:
                     continue
-                ids = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
-                missing = np.concatenate(([0], np.cumsum(ids < 0)))
-                starts = np.flatnonzero(missing[shingle:] == missing[:-shingle])
-                if not len(starts):
-                    continue
-                h = _shingles(ids, shingle)[starts]
-                place = np.searchsorted(known, h)
-                starts = starts[known[np.minimum(place, len(known) - 1)] == h]
-                if not len(starts):
-                    continue
-                cuts = np.flatnonzero(np.diff(starts) > 1) + 1
-                for run in np.split(starts, cuts):
+                h = _shingles(numbers.of(own), shingle)
+                for at in in_filter(wanted, h).tolist():
+                    start = max(0, at - before)
                     docs.append(doc)
-                    at.append(int(run[0]))
-                    found.append(own[run[0] : run[-1] + shingle])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "at", "words"])
-
-    kept = Written(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(stretches, "doc_id bigint, at int, words array<string>"), "stretches").df
-    cut = lambda c, size: F.transform(F.sequence(F.lit(0), F.size(c) - size), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(c, i + 1, size), " ").alias("shingle")))
-    hits = kept.select("doc_id", "words", F.explode(cut(F.col("words"), shingle)).alias("s")).select("doc_id", "words", "s.pos", "s.shingle")
-    df = hits.groupBy("shingle").agg(F.count_distinct("doc_id").alias("df"))
-
-    table = spark.createDataFrame(passages, "item_id bigint, words array<string>")
-    windows = table.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - words), lambda i: F.slice("words", i + 1, words))).alias("window")).distinct()
-    numbered = windows.select("item_id", "window", F.explode(cut(F.col("window"), shingle)).alias("s")).select("item_id", "window", "s.pos", "s.shingle")
-    ranked = numbered.join(df, "shingle", "left").groupBy("item_id", "window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "pos")).alias("rarest"))
-    prefixes = ranked.where("rarest.df > 0").select("item_id", "window", F.col("rarest.shingle").alias("shingle"), (F.col("rarest.pos") + 0).alias("offset"))
-    # at most one row per window of the block, so its size is bounded by block_words
-    found = hits.where(F.size("words") >= words).join(F.broadcast(prefixes), "shingle")
-    start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (start + words <= F.size("words"))
-    return found.where(fits).where(F.slice("words", F.greatest(start, F.lit(0)) + 1, words) == F.col("window")).select("doc_id", "item_id").distinct()
+                    hashes.append(h[at])
+                    backs.append(at - start)
+                    contexts.append(own[start : at + words])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(backs, pa.int32()), pa.array(contexts, pa.list_(pa.string()))], ["doc_id", "h", "back", "context"])
+
+    hits = Written(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(hits_of, "doc_id bigint, h bigint, back int, context array<string>").join(asked, "h", "left_semi"), "hits").df
+    df = hits.groupBy("h").agg(F.count_distinct("doc_id").alias("df"))
+    texts = windows.select("window", "shingles").distinct()
+    numbered = texts.select("window", F.posexplode("shingles").alias("offset", "h"))
+    rarest = numbered.join(df, "h", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "offset")).alias("r")).where("r.df > 0")
+    found = hits.join(rarest.select("window", "r.h", "r.offset"), "h")
+    start = F.col("back") - F.col("offset")
+    fits = (start >= 0) & (start + words <= F.size("context"))
+    held = found.where(fits).where(F.slice("context", F.greatest(start, F.lit(0)) + 1, words) == F.col("window")).select("doc_id", "window").distinct()
+    return held.join(windows.select("item_id", "window"), "window").select("doc_id", "item_id").distinct()
 
 
 def leak_report(leaks: DataFrame, items: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,8 +108,8 @@ def corpus_anchors(documents: DataFrame, length: int) -> DataFrame:
 
     halves holds those of the two windows of length/2 that start at the anchor or length/4 before it;
     near those of the three of 3/4 length that start 0, 1/4 and 1/2 length before it. 0 stands for a
-    window beyond the text. They only serve to drop anchors early; whether a window of the whole
-    length stands elsewhere is told by 64 bits later on.
+    window beyond the text. They only serve to drop anchors early; windows of the whole length are
+    compared by 64 bits later on, and then as texts.
     """
     size = length // 4
 
@@ -139,21 +139,17 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select(*keys)
 
 
-def _with_text(documents: DataFrame, rows: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
-    """work(doc, code points, list of column arrays) for each document that has rows, its text joined to them once."""
+#: Document ids that are broadcast to leave out other texts before these are shuffled, some 64 MB; beyond it all texts are.
+BROADCAST_IDS = 2_000_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                codes = np.frombuffer(r["text"].encode("utf-32-le", "surrogatepass"), np.uint32)
-                out = work(r["doc_id"], codes, [np.array([x[c] for x in r["rows"]], np.int64) for c in columns])
-                if out is not None:
-                    yield out
 
-    # rows of one document, of which its text holds a bounded number
-    listed = rows.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias("rows"))
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").isNotNull())
-    return texts.join(listed, "doc_id").mapInArrow(run, schema)
+def _verbatim(windows: DataFrame) -> DataFrame:
+    """The windows (h, doc_id, text and others) whose text stands in two documents. Where texts of one hash differ they are told apart by the texts themselves."""
+    seen = windows.groupBy("h").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), (F.min("text") != F.max("text")).alias("_mixed")).where("_a < _b")
+    seen = Written(seen.select("h", "_mixed"), "verbatim").df
+    mixed = windows.join(seen.where("_mixed"), "h", "left_semi")
+    same = windows.drop("text").join(seen.where("NOT _mixed"), "h", "left_semi")
+    return same.unionByName(mixed.join(_repeated(mixed, ["h", "text"]), ["h", "text"]).drop("text").select(*same.columns))
 
 
 def _survivors(documents: DataFrame, length: int) -> DataFrame:
@@ -180,37 +176,55 @@ def _survivors(documents: DataFrame, length: int) -> DataFrame:
     return three.df
 
 
-def _extended(documents: DataFrame, alive: DataFrame, length: int) -> DataFrame:
-    """doc_id, at, near (hashes of the three windows of 3/4 length that start 0, 1/4 and 1/2 length before the anchor), full (of the four of the whole length); null beyond the text."""
+def _slices(documents: DataFrame, alive: DataFrame, length: int) -> DataFrame:
+    """doc_id, at, base, slice, near, full: for each anchor the text that any window around it can cover, from place `base` on.
+
+    near has the hashes of the three windows of 3/4 length that start 0, 1/4 and 1/2 length before the
+    anchor, full those of the four of the whole length; null beyond the text. Texts are joined to the
+    anchors once, and only those that have some; all that follows reads the slices.
+    """
     size = length // 4
+    # anchors of one document, of which its text holds a bounded number
+    listed = Written(alive.groupBy("doc_id").agg(F.collect_set("at").alias("places")), "places").df
+    texts = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.char_length("text") >= length)
+    if listed.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(listed.select("doc_id")), "doc_id", "left_semi")
 
-    def work(doc: int, codes: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
-        at = np.sort(columns[0])
-        h = window_hashes(codes, size)
-        three = h[2 * size][: len(codes) - 3 * size + 1] * _power(size) + h[size][2 * size :]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, places in zip(b.column(0), b.column(1), b.column(2)):
+                text, at = text.as_py(), np.sort(places.values.to_numpy())
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                h = window_hashes(codes, size)
+                three = h[2 * size][: len(codes) - 3 * size + 1] * _power(size) + h[size][2 * size :]
 
-        def lists(hashes: np.ndarray, width: int, count: int) -> pa.Array:
-            start = at[:, None] - size * np.arange(count)
-            ok = (start >= 0) & (start + width <= len(codes))
-            values = _mixed(hashes[np.clip(start, 0, len(hashes) - 1)]).view(np.int64).ravel()
-            return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * count), pa.array(values, mask=~ok.ravel()))
+                def lists(hashes: np.ndarray, width: int, count: int) -> pa.Array:
+                    start = at[:, None] - size * np.arange(count)  # noqa: B023
+                    ok = (start >= 0) & (start + width <= len(codes))  # noqa: B023
+                    values = _mixed(hashes[np.clip(start, 0, len(hashes) - 1)]).view(np.int64).ravel()
+                    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * count), pa.array(values, mask=~ok.ravel()))  # noqa: B023
 
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32)), lists(three, 3 * size, 3), lists(h[4 * size], length, 4)], ["doc_id", "at", "near", "full"])
+                base = np.maximum(at - 3 * size, 0)
+                pieces = pa.array([text[i:j] for i, j in zip(base.tolist(), (at + length).tolist())], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc.as_py(), np.int64)), pa.array(at.astype(np.int32)), pa.array(base.astype(np.int32)), pieces, lists(three, 3 * size, 3), lists(h[4 * size], length, 4)], ["doc_id", "at", "base", "slice", "near", "full"])
 
-    return _with_text(documents, alive, ["at"], work, "doc_id bigint, at int, near array<bigint>, full array<bigint>")
+    return texts.join(listed, "doc_id").mapInArrow(run, "doc_id bigint, at int, base int, slice string, near array<bigint>, full array<bigint>")
 
 
-def _every_window(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """h, doc_id, start: for each (doc_id, at, kind) the windows of `length` that hold the kind's window of 3/4 length."""
+def _every_window(slices: DataFrame, length: int) -> DataFrame:
+    """h, doc_id, start, text: for each slice (doc_id, at, base, slice, kind) the windows of `length` that hold the kind's window of 3/4 length."""
     size = length // 4
 
-    def work(doc: int, codes: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
-        h = window_hashes(codes, size)[4 * size]
-        start = np.unique((columns[0] - columns[1] * size)[:, None] - np.arange(size + 1))
-        start = start[(start >= 0) & (start < len(h))]
-        return pa.RecordBatch.from_arrays([pa.array(_mixed(h[start]).view(np.int64)), pa.array(np.full(len(start), doc, np.int64)), pa.array(start.astype(np.int32))], ["h", "doc_id", "start"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, at, base, text, kind in zip(*(c.to_pylist() for c in b.columns)):
+                h = window_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), size)[4 * size]
+                start = at - base - kind * size - np.arange(size + 1)
+                start = start[(start >= 0) & (start < len(h))]
+                if len(start):
+                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(h[start]).view(np.int64)), pa.array(np.full(len(start), doc, np.int64)), pa.array((start + base).astype(np.int32)), pa.array([text[i : i + length] for i in start.tolist()])], ["h", "doc_id", "start", "text"])
 
-    return _with_text(documents, wanted, ["at", "kind"], work, "h bigint, doc_id bigint, start int")
+    return slices.select("doc_id", "at", "base", "slice", "kind").mapInArrow(run, "h bigint, doc_id bigint, start int, text string").distinct()
 
 
 def shared_windows(documents: DataFrame, length: int, all_of_them: bool) -> DataFrame:
@@ -223,13 +237,20 @@ def shared_windows(documents: DataFrame, length: int, all_of_them: bool) -> Data
     none of the four places holds one of three windows of 3/4 length; only where one of these stands
     elsewhere are all places between compared, one by one.
 
+    All this goes by hashes; windows of the whole length that pass are then compared as texts, so
+    that what comes out stands verbatim in both documents. Longer spans are covered by their windows
+    of the length asked for, so no level beyond it is needed.
+
     With all_of_them the windows found cover everything that is shared; else at least one window
     comes out for every document that has any, and documents settled early are not looked at again.
     """
-    alive = Written(_extended(documents, _survivors(documents, length), length), "level4").df
+    if length < 4 or length % 4:
+        raise ValueError("the length must be a multiple of 4")
+    alive = Written(_slices(documents, _survivors(documents, length), length), "level4").df
     size = length // 4
     places = alive.select("doc_id", "at", F.posexplode("full").alias("k", "h")).where(F.col("h").isNotNull())
-    hits = Written(places.join(_repeated(places, ["h"]), "h").select("doc_id", "at", "k"), "hits").df
+    found = places.join(_repeated(places, ["h"]), "h").join(alive.select("doc_id", "at", "base", "slice"), ["doc_id", "at"])
+    hits = Written(_verbatim(Written(found.select("h", "doc_id", "at", "k", F.col("slice").substr(F.col("at") - F.col("k") * size - F.col("base") + 1, F.lit(length)).alias("text")), "found").df), "hits").df
     if all_of_them:
         # an anchor is settled if all its windows within the text stand elsewhere: they cover all that can be shared around it
         settled = hits.groupBy("doc_id", "at").agg(F.count("*").alias("n"))
@@ -238,9 +259,9 @@ def shared_windows(documents: DataFrame, length: int, all_of_them: bool) -> Data
         rest = alive.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
     kinds = lambda df: df.select("doc_id", "at", F.posexplode("near").alias("kind", "h")).where(F.col("h").isNotNull())
     asked = kinds(rest).select("kind", "h").distinct().join(_repeated(kinds(alive), ["kind", "h"]), ["kind", "h"])
-    wanted = Written(kinds(alive).join(asked, ["kind", "h"]).select("doc_id", "at", "kind"), "wanted").df
-    probes = Written(_every_window(documents, wanted, length), "probes").df
-    late = probes.join(_repeated(probes, ["h"]), "h").select("doc_id", "start")
+    wanted = kinds(alive).join(asked, ["kind", "h"]).select("doc_id", "at", "kind").distinct()
+    probes = Written(_every_window(alive.join(wanted, ["doc_id", "at"]), length), "probes").df
+    late = _verbatim(probes).select("doc_id", "start")
     return late.unionByName(hits.select("doc_id", (F.col("at") - size * F.col("k")).alias("start"))).distinct()
 
 
@@ -248,7 +269,7 @@ def documents_with_shared_spans(documents: DataFrame, length: int = 100) -> Data
     """(doc_id): documents with a span of at least `length` code points that stands verbatim in another document too.
 
     Null texts and texts shorter than that share nothing; rows of one doc_id are one document; spans
-    repeated within a document don't count. length must be a multiple of 4. See shared_windows().
+    repeated within a document don't count. ValueError if length is no multiple of 4. See shared_windows().
     """
     return shared_windows(documents, length, all_of_them=False).select("doc_id").distinct()
 

@@ -6,10 +6,10 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.runtime import Written
+from shelfmark.runtime import Written, shuffle_partitions
 from shelfmark.tables import current_files
 
 TOKEN = re.compile(r"[^\W_]+|\s+|[^\w\s]|_")
@@ -98,6 +98,30 @@ def token_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def vote(weights: dict[str, float], guide: Profile) -> list[str]:
+    """What each column of the guide says: the heaviest token of all values aligned to it, of equals the smaller; empty for a gap."""
+    votes: list[dict[str, float]] = [{} for _ in guide]
+    shares = [{t: 2 * (w / (sum(c.values()) or 1.0)) + DIFFERENT for t, w in c.items()} for c in guide]
+    for value, w in weights.items():
+        own = tokens_of(value)
+        agree = [[c.get(t, DIFFERENT) for t in own] for c in shares]
+        for i, j in best_path(agree, len(own)):
+            if i is not None:
+                t = own[j] if j is not None else ""
+                votes[i][t] = votes[i].get(t, 0.0) + w
+    return [min(c, key=lambda t: (-c[t], t)) for c in votes]
+
+
+def settle(weights: dict[str, float]) -> tuple[str, str]:
+    """(consensus, value) of one small group, values with their weights."""
+    guide = progressive([[{t: w + 1e-9} for t in tokens_of(v)] for v, w in weights.items()])
+    said = "".join(vote(weights, guide))
+    if said in weights:
+        return said, said
+    own = tokens_of(said)
+    return said, min(weights, key=lambda v: (token_distance(tokens_of(v), own), -weights[v], v))
+
+
 _PROFILE = "group_id bigint, chunk bigint, profile array<map<string,double>>"
 
 
@@ -111,7 +135,9 @@ def consensus_values(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     them, are counted over all rows: the winner is the heaviest, of equals the smaller token. The
     emitted value is the one with the fewest token edits to that consensus, then the heavier, then
     the smaller. Null groups and null values take no part; a group of nulls only has no row; the
-    empty value is a value without tokens. A group's values are never gathered in one task: chunks
+    empty value is a value without tokens. Columns vote on their own, so the consensus may be a
+    string that no value has; the emitted value always is one. Groups of at most `chunk` distinct
+    values are settled where they are, with the same result (settle()). A larger group's values are never gathered in one task: chunks
     hold at most about `chunk` distinct values, and votes are sums. What its last merge does gather
     are the guide's columns with all their distinct tokens. A value meets only those guide entries
     that its own tokens name, by a join on group and token, not the guide as a whole.
@@ -121,7 +147,27 @@ def consensus_values(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         "values",
     ).df
 
-    sizes = values.groupBy("group_id").agg(F.count("*").alias("n"))
+    sizes = Written(values.groupBy("group_id").agg(F.count("*").alias("n")), "sizes").df
+
+    def small(frames):  # noqa: ANN001, ANN202
+        group, weights = None, {}
+        for pdf in frames:
+            out = []
+            for g, v, w in zip(pdf["group_id"], pdf["value"], pdf["weight"]):
+                if g != group:
+                    if weights:
+                        out.append((group, *settle(weights)))
+                    group, weights = g, {}
+                weights[v] = w
+            yield pd.DataFrame(out, columns=["group_id", "consensus", "value"])
+        if weights:
+            yield pd.DataFrame([(group, *settle(weights))], columns=["group_id", "consensus", "value"])
+
+    one_chunk = values.join(sizes.where(F.col("n") <= chunk), "group_id").select("group_id", "value", "weight")
+    settled = one_chunk.repartition(shuffle_partitions(rows.sparkSession), "group_id").sortWithinPartitions("group_id").mapInPandas(small, "group_id bigint, consensus string, value string")
+    if sizes.where(F.col("n") > chunk).head() is None:
+        return settled
+    values = values.join(sizes.where(F.col("n") > chunk).select("group_id"), "group_id", "left_semi")
     placed = values.join(sizes, "group_id").withColumn("chunk", F.pmod(F.xxhash64("value"), F.ceil(F.col("n") / chunk)))
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,7 +205,7 @@ def consensus_values(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         for pdf in frames:
             yield pd.DataFrame([(g, k, t) for g, k, v in zip(pdf["group_id"], pdf["value_no"], pdf["value"]) for t in dict.fromkeys(tokens_of(v))], columns=["group_id", "value_no", "token"])
 
-    def vote(frames):  # noqa: ANN001, ANN202
+    def votes_of(frames):  # noqa: ANN001, ANN202
         for pdf in frames:
             out = []
             for g, v, w, width, hits in zip(pdf["group_id"], pdf["value"], pdf["weight"], pdf["width"], pdf["hits"]):
@@ -179,7 +225,7 @@ def consensus_values(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     tokens = values.select("group_id", "value_no", "value").mapInPandas(named, "group_id bigint, value_no bigint, token string")
     hits = tokens.join(side, ["group_id", "token"]).groupBy("value_no").agg(F.collect_list(F.struct("token", "places", "scores")).alias("hits"))
     joined = values.join(hits, "value_no", "left").join(guide.select("group_id", F.size("profile").alias("width")), "group_id").select("group_id", "value", "weight", "width", "hits")
-    votes = joined.mapInPandas(vote, "group_id bigint, place int, token string, weight double").groupBy("group_id", "place", "token").agg(F.sum("weight").alias("weight"))
+    votes = joined.mapInPandas(votes_of, "group_id bigint, place int, token string, weight double").groupBy("group_id", "place", "token").agg(F.sum("weight").alias("weight"))
     winner = votes.groupBy("group_id", "place").agg(F.min(F.struct((-F.col("weight")).alias("w"), "token")).alias("best"))
     # a place per column of the guide, so the list is as long as the group's longest value
     said = winner.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("best.token").alias("token")))), lambda x: x["token"]), "").alias("consensus"))
@@ -191,7 +237,7 @@ def consensus_values(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     near = values.drop("value_no").join(said, "group_id").mapInPandas(edits, "group_id bigint, value string, weight double, consensus string, d int")
     best = near.groupBy("group_id", "consensus").agg(F.min(F.struct("d", (-F.col("weight")).alias("w"), "value")).alias("best"))
-    return best.select("group_id", "consensus", F.col("best.value").alias("value"))
+    return settled.unionByName(best.select("group_id", "consensus", F.col("best.value").alias("value")))
 
 
 def exact_candidates(dup_groups: DataFrame, dup_members: DataFrame, files: DataFrame) -> DataFrame:
@@ -201,19 +247,30 @@ def exact_candidates(dup_groups: DataFrame, dup_members: DataFrame, files: DataF
     return members.join(current_files(files, ["pid", "path", "mtime"]).withColumnRenamed("id", "file_id"), "file_id")
 
 
-def best_members(candidates: DataFrame) -> DataFrame:
-    """(group_id, best): one struct per group with the surviving record's file_id, pid, path and mtime.
+def consensus_records(records: DataFrame, trust: dict[str, Column]) -> DataFrame:
+    """(group_id, consensus, record): of each group the existing record closest to the consensus of its fields.
 
-    The best has a pid rather than none, then the shorter path in bytes, then the smaller mtime, then
-    the smaller id; a null path or mtime comes last. It is a minimum, taken in each task before
-    anything is shuffled, so a group of any size is one row per task.
+    records: group_id and any columns. trust: for each field, most important first, how much its
+    value's word counts; null counts least. A record is a sequence of one token per field, and each
+    token names its field, so aligning records progressively puts every field in a column of its own
+    whatever their order. A column's winner is its most trusted token, which no number of less trusted
+    ones outvotes: consensus holds the winners' trusts, field by field, and may come from several
+    records. The emitted record is the one closest to it, compared column by column in the order of
+    the fields; of records as close in all of them the one of the greatest columns. Null groups have
+    no row. Votes and distances are maxima per task before anything is shuffled, so a group of any
+    size is one row per task.
     """
-    last = F.lit(2**63 - 1)
-    key = F.struct(
-        F.col("pid").isNull().alias("no_pid"), F.coalesce(F.octet_length("path").cast("bigint"), last).alias("bytes"),
-        F.coalesce("mtime", last).alias("at"), "file_id", "pid", "path", "mtime",
-    )
-    return candidates.groupBy("group_id").agg(F.min(key).alias("best"))
+    fields = [c.alias(f) for f, c in trust.items()]
+    columns = [c for c in records.columns if c != "group_id"]
+    tokens = records.where(F.col("group_id").isNotNull()).select("group_id", *fields, F.struct(*columns).alias("_record"))
+    # one vote for all columns at once, and with it the record that comes nearest to them all
+    voted = tokens.groupBy("group_id").agg(F.struct(*(F.max(f).alias(f) for f in trust)).alias("consensus"), F.max(F.struct(*trust, "_record")).alias("_closest"))
+    return voted.select("group_id", "consensus", F.col("_closest._record").alias("record"))
+
+
+def keeper_trust() -> dict[str, Column]:
+    """The reference's preference, field by field: a pid rather than none, the shorter path in bytes, the smaller mtime as stored, the smaller id."""
+    return {"has_pid": F.col("pid").isNotNull(), "short_path": -F.octet_length("path").cast("bigint"), "early": -F.col("mtime"), "low_id": -F.col("file_id")}
 
 
 def disputed_keepers(dup_groups: DataFrame, dup_members: DataFrame, files: DataFrame) -> DataFrame:
@@ -221,7 +278,7 @@ def disputed_keepers(dup_groups: DataFrame, dup_members: DataFrame, files: DataF
 
     Groups without a candidate that exists in files have no row.
     """
-    best = best_members(exact_candidates(dup_groups, dup_members, files)).select("group_id", "best.file_id", "best.pid", "best.path", "best.mtime")
+    best = consensus_records(exact_candidates(dup_groups, dup_members, files), keeper_trust()).select("group_id", "record.file_id", "record.pid", "record.path", "record.mtime")
     kept = dup_groups.select(F.col("id").alias("group_id"), "keep_file_id").distinct()
     return best.join(kept, "group_id").where(F.col("keep_file_id").isNull() | (F.col("keep_file_id") != F.col("file_id"))).select("group_id", "file_id", "pid", "path", "mtime").distinct()
 
