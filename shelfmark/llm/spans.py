@@ -139,8 +139,8 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select(*keys)
 
 
-#: Document ids that are broadcast to leave out other texts before these are shuffled, some 64 MB; beyond it all texts are.
-BROADCAST_IDS = 2_000_000
+#: Rows of ids that are broadcast so that texts or slices needn't be shuffled, some 32 MB; with more of them they are.
+BROADCAST_IDS = 500_000
 
 
 def _verbatim(windows: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _slices(documents: DataFrame, alive: DataFrame, length: int) -> DataFrame:
 
 
 def _every_window(slices: DataFrame, length: int) -> DataFrame:
-    """h, doc_id, start, text: for each slice (doc_id, at, base, slice, kind) the windows of `length` that hold the kind's window of 3/4 length."""
+    """h, doc_id, start, at: for each slice (doc_id, at, base, slice, kind) the windows of `length` that hold the kind's window of 3/4 length, each once, with one of the anchors whose slice covers it."""
     size = length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +222,16 @@ def _every_window(slices: DataFrame, length: int) -> DataFrame:
                 start = at - base - kind * size - np.arange(size + 1)
                 start = start[(start >= 0) & (start < len(h))]
                 if len(start):
-                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(h[start]).view(np.int64)), pa.array(np.full(len(start), doc, np.int64)), pa.array((start + base).astype(np.int32)), pa.array([text[i : i + length] for i in start.tolist()])], ["h", "doc_id", "start", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(h[start]).view(np.int64)), pa.array(np.full(len(start), doc, np.int64)), pa.array((start + base).astype(np.int32)), pa.array(np.full(len(start), at, np.int32))], ["h", "doc_id", "start", "at"])
 
-    return slices.select("doc_id", "at", "base", "slice", "kind").mapInArrow(run, "h bigint, doc_id bigint, start int, text string").distinct()
+    every = slices.select("doc_id", "at", "base", "slice", "kind").mapInArrow(run, "h bigint, doc_id bigint, start int, at int")
+    return every.groupBy("h", "doc_id", "start").agg(F.min("at").alias("at"))
+
+
+def _with_slices(alive: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (doc_id, at and others) with base and slice; only a bounded number of rows is broadcast, more are joined."""
+    slices = alive.select("doc_id", "at", "base", "slice")
+    return slices.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, ["doc_id", "at"])
 
 
 def shared_windows(documents: DataFrame, length: int, all_of_them: bool) -> DataFrame:
@@ -249,8 +256,10 @@ def shared_windows(documents: DataFrame, length: int, all_of_them: bool) -> Data
     alive = Written(_slices(documents, _survivors(documents, length), length), "level4").df
     size = length // 4
     places = alive.select("doc_id", "at", F.posexplode("full").alias("k", "h")).where(F.col("h").isNotNull())
-    found = places.join(_repeated(places, ["h"]), "h").join(alive.select("doc_id", "at", "base", "slice"), ["doc_id", "at"])
-    hits = Written(_verbatim(Written(found.select("h", "doc_id", "at", "k", F.col("slice").substr(F.col("at") - F.col("k") * size - F.col("base") + 1, F.lit(length)).alias("text")), "found").df), "hits").df
+    text = lambda start: F.col("slice").substr(start - F.col("base") + 1, F.lit(length)).alias("text")
+    found = Written(places.join(_repeated(places, ["h"]), "h").groupBy("doc_id", "at").agg(F.collect_list(F.struct("k", "h")).alias("kh")), "found").df
+    told = _with_slices(alive, found).select("doc_id", "at", "base", "slice", F.explode("kh").alias("w")).select("w.h", "doc_id", "at", "w.k", text(F.col("at") - F.col("w.k") * size))
+    hits = Written(_verbatim(Written(told, "told").df), "hits").df
     if all_of_them:
         # an anchor is settled if all its windows within the text stand elsewhere: they cover all that can be shared around it
         settled = hits.groupBy("doc_id", "at").agg(F.count("*").alias("n"))
@@ -259,9 +268,10 @@ def shared_windows(documents: DataFrame, length: int, all_of_them: bool) -> Data
         rest = alive.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
     kinds = lambda df: df.select("doc_id", "at", F.posexplode("near").alias("kind", "h")).where(F.col("h").isNotNull())
     asked = kinds(rest).select("kind", "h").distinct().join(_repeated(kinds(alive), ["kind", "h"]), ["kind", "h"])
-    wanted = kinds(alive).join(asked, ["kind", "h"]).select("doc_id", "at", "kind").distinct()
-    probes = Written(_every_window(alive.join(wanted, ["doc_id", "at"]), length), "probes").df
-    late = _verbatim(probes).select("doc_id", "start")
+    wanted = Written(kinds(alive).join(asked, ["kind", "h"]).select("doc_id", "at", "kind").distinct(), "wanted").df
+    probes = Written(_every_window(_with_slices(alive, wanted), length), "probes").df
+    met = Written(probes.join(_repeated(probes, ["h"]), "h"), "met").df
+    late = _verbatim(Written(_with_slices(alive, met).select("h", "doc_id", "start", text(F.col("start"))), "told").df).select("doc_id", "start")
     return late.unionByName(hits.select("doc_id", (F.col("at") - size * F.col("k")).alias("start"))).distinct()
 
 
