@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.runtime import Written
@@ -104,12 +104,11 @@ def _starts(ends: np.ndarray) -> np.ndarray:
 
 
 def corpus_anchors(documents: DataFrame, length: int) -> DataFrame:
-    """h, halves, near, doc_id, at: each anchor with the hash of its window of length/4, and 16-bit hashes of longer windows around it.
+    """h, near, doc_id, at: each anchor with the hash of its window of length/4, and 21-bit hashes of the longer windows around it.
 
-    halves holds those of the two windows of length/2 that start at the anchor or length/4 before it;
-    near those of the three of 3/4 length that start 0, 1/4 and 1/2 length before it. 0 stands for a
-    window beyond the text. They only serve to drop anchors early; windows of the whole length are
-    compared by 64 bits later on, and then as texts.
+    near holds those of the three windows of 3/4 length that start 0, 1/4 and 1/2 length before the
+    anchor; 0 stands for a window beyond the text. They only serve to drop anchors early; windows of
+    the whole length are compared by 64 bits later on, and then as texts.
     """
     size = length // 4
 
@@ -120,18 +119,19 @@ def corpus_anchors(documents: DataFrame, length: int) -> DataFrame:
                 which = np.searchsorted(ends, at, side="right")
                 own = at - _starts(ends)[which]
 
-                def short(hashes: np.ndarray, quarters: int, before: int) -> np.ndarray:
+                def short(hashes: np.ndarray, before: int) -> np.ndarray:
                     start = at - before * size  # noqa: B023
-                    x = _mixed(hashes[np.clip(start, 0, len(hashes) - 1)]) >> np.uint64(48)
-                    return np.where((own < before * size) | (start + quarters * size > ends[which]), np.uint64(0), np.maximum(x, np.uint64(1))).astype(np.int64)  # noqa: B023
+                    x = _mixed(hashes[np.clip(start, 0, len(hashes) - 1)]) >> np.uint64(43)
+                    return np.where((own < before * size) | (start + 3 * size > ends[which]), np.uint64(0), np.maximum(x, np.uint64(1))).astype(np.int64)  # noqa: B023
 
-                half, three = h[2 * size], (h[2 * size][: len(codes) - 3 * size + 1] * _power(size) + h[size][2 * size :]) if len(at) else None
-                halves = (short(half, 2, 0) | short(half, 2, 1) << 16).astype(np.uint32).view(np.int32) if len(at) else np.empty(0, np.int32)
-                near = short(three, 3, 0) | short(three, 3, 1) << 16 | short(three, 3, 2) << 32 if len(at) else np.empty(0, np.int64)
-                key = _mixed(h[size][at]).view(np.int64) if len(at) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(halves), pa.array(near), pa.array(ids[which]), pa.array(own.astype(np.int32))], ["h", "halves", "near", "doc_id", "at"])
+                near = key = np.empty(0, np.int64)
+                if len(at):
+                    three = h[2 * size][: len(codes) - 3 * size + 1] * _power(size) + h[size][2 * size :]
+                    near = short(three, 0) | short(three, 1) << 21 | short(three, 2) << 42
+                    key = _mixed(h[size][at]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(near), pa.array(ids[which]), pa.array(own.astype(np.int32))], ["h", "near", "doc_id", "at"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "h bigint, halves int, near bigint, doc_id bigint, at int")
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "h bigint, near bigint, doc_id bigint, at int")
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,27 +153,15 @@ def _verbatim(windows: DataFrame) -> DataFrame:
 
 
 def _survivors(documents: DataFrame, length: int) -> DataFrame:
-    """doc_id, at of the anchors whose windows of length/4, then one of length/2, then one of 3/4 length another document has too."""
+    """doc_id, at of the anchors whose window of length/4, and then one of 3/4 length around it, another document has too."""
     first = Written(corpus_anchors(documents, length), "anchors")
     one = Written(first.df.join(_repeated(first.df, ["h"]), "h"), "level1")
     first.drop()
-    code = lambda column, k: F.shiftright(F.col(column).cast("bigint"), 16 * k).bitwiseAND(F.lit(0xFFFF))
-
-    def kept(rows: DataFrame, keys: dict[int, list[Column]]) -> DataFrame:
-        """Of the windows of each kind, those whose hashes, all present, two documents have."""
-        found = rows.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), *(c.alias(f"c{i}") for i, c in enumerate(cs))) for k, cs in keys.items()))).alias("_w"))
-        names = [f"c{i}" for i in range(len(next(iter(keys.values()))))]
-        found = found.select(*rows.columns, "_w.kind", *(F.col(f"_w.{n}") for n in names)).where(" AND ".join(f"{n} <> 0" for n in names))
-        by = ["h", "kind", *names]
-        return found.join(_repeated(found, by), by).select(*rows.columns).distinct()
-
-    right, left = code("halves", 0), code("halves", 1)
-    two = Written(kept(one.df, {0: [right], 1: [left]}), "level2")
+    code = lambda k: F.shiftrightunsigned("near", 21 * k).bitwiseAND(F.lit((1 << 21) - 1))
+    longer = one.df.select(F.explode(F.array(*(F.when(code(k) != 0, F.xxhash64("h", F.lit(k), code(k))) for k in range(3)))).alias("key"), "doc_id", "at").where(F.col("key").isNotNull())
+    two = Written(longer.join(_repeated(longer, ["key"]), "key").select("doc_id", "at").distinct(), "level2")
     one.drop()
-    # each window of 3/4 length holds those of length/2 beside it in its key
-    three = Written(kept(two.df, {0: [code("near", 0), right], 1: [code("near", 1), right * 65536 + left], 2: [code("near", 2), left]}).select("doc_id", "at"), "level3")
-    two.drop()
-    return three.df
+    return two.df
 
 
 def _slices(documents: DataFrame, alive: DataFrame, length: int) -> DataFrame:
@@ -237,10 +225,11 @@ def _with_slices(alive: DataFrame, rows: DataFrame) -> DataFrame:
 def shared_windows(documents: DataFrame, length: int, all_of_them: bool) -> DataFrame:
     """(doc_id, start) of windows of `length` that another document has too.
 
-    Level-wise doubling: windows of a quarter of the length at anchors (anchors(): every window of
-    the length holds one, chosen by its content alone) are kept if another document has them, then
-    those of half and three quarters of the length around the anchor, then those of the full length at
-    four places. What stands alone at one level is not extended. A shared window that holds the anchor at
+    Windows grow level by level: those of a quarter of the length at anchors (anchors(): every window
+    of the length holds one, chosen by its content alone) are kept if another document has them, then
+    those of three quarters around the anchor, then those of the full length at four places. What
+    stands alone at one level is not extended. (Three quarters instead of a half: a half around the
+    anchor is part of each, and one level less is shuffled.) A shared window that holds the anchor at
     none of the four places holds one of three windows of 3/4 length; only where one of these stands
     elsewhere are all places between compared, one by one.
 
@@ -257,18 +246,25 @@ def shared_windows(documents: DataFrame, length: int, all_of_them: bool) -> Data
     size = length // 4
     places = alive.select("doc_id", "at", F.posexplode("full").alias("k", "h")).where(F.col("h").isNotNull())
     text = lambda start: F.col("slice").substr(start - F.col("base") + 1, F.lit(length)).alias("text")
-    found = Written(places.join(_repeated(places, ["h"]), "h").groupBy("doc_id", "at").agg(F.collect_list(F.struct("k", "h")).alias("kh")), "found").df
-    told = _with_slices(alive, found).select("doc_id", "at", "base", "slice", F.explode("kh").alias("w")).select("w.h", "doc_id", "at", "w.k", text(F.col("at") - F.col("w.k") * size))
-    hits = Written(_verbatim(Written(told, "told").df), "hits").df
+    told = lambda rows: Written(_with_slices(alive, rows).select("h", "doc_id", "at", "k", text(F.col("at") - F.col("k") * size)), "told").df
+    found = Written(places.join(_repeated(places, ["h"]), "h"), "found").df
     if all_of_them:
+        hits = Written(_verbatim(told(found)), "hits").df
         # an anchor is settled if all its windows within the text stand elsewhere: they cover all that can be shared around it
         settled = hits.groupBy("doc_id", "at").agg(F.count("*").alias("n"))
         rest = alive.join(settled, ["doc_id", "at"], "left").where(F.coalesce("n", F.lit(0)) < 4)
     else:
+        # one window a document will do; only where its text differs from the others' are all looked at
+        one = found.groupBy("doc_id").agg(F.min("h").alias("h")).select("h").distinct()
+        hits = Written(_verbatim(told(found.join(one, "h", "left_semi"))), "hits").df
+        unsure = found.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
+        if unsure.head() is not None:
+            hits = hits.unionByName(Written(_verbatim(told(found.join(unsure.select("h").distinct(), "h", "left_semi"))), "hits").df)
         rest = alive.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
     kinds = lambda df: df.select("doc_id", "at", F.posexplode("near").alias("kind", "h")).where(F.col("h").isNotNull())
-    asked = kinds(rest).select("kind", "h").distinct().join(_repeated(kinds(alive), ["kind", "h"]), ["kind", "h"])
-    wanted = Written(kinds(alive).join(asked, ["kind", "h"]).select("doc_id", "at", "kind").distinct(), "wanted").df
+    asked = Written(kinds(rest).select("kind", "h").distinct(), "asked").df
+    held = Written(kinds(alive).join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, ["kind", "h"]), "held").df
+    wanted = Written(held.join(_repeated(held, ["kind", "h"]), ["kind", "h"]).select("doc_id", "at", "kind").distinct(), "wanted").df
     probes = Written(_every_window(_with_slices(alive, wanted), length), "probes").df
     met = Written(probes.join(_repeated(probes, ["h"]), "h"), "met").df
     late = _verbatim(Written(_with_slices(alive, met).select("h", "doc_id", "start", text(F.col("start"))), "told").df).select("doc_id", "start")
