@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 #: Fixed value: the vocabulary's own rule for cutting text before any merge.
@@ -19,6 +19,9 @@ PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 DEFAULT_VOCABULARY = os.environ.get("SHELFMARK_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 
+#: Bytes of a vocabulary file at most.
+MOST_BYTES = 64 << 20
+
 #: Distinct pre-tokens whose ids a worker keeps; beyond it the memory starts anew.
 CACHE = 400_000
 
@@ -38,10 +41,9 @@ class BytePairs:
     are mapped to ranks; a piece that no merge reaches still has its place.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         letters = byte_letters()
-        with open(path, "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
+        pairs = [line.split() for line in vocabulary.splitlines() if line.strip()]
         self.bytes_of = {int(rank): base64.b64decode(piece) for piece, rank in pairs}
         proto = model_pb2.ModelProto()
         proto.pieces.add(piece="<unk>", score=0.0, type=model_pb2.ModelProto.SentencePiece.UNKNOWN)
@@ -87,21 +89,36 @@ class BytePairs:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
-def load(path: str) -> BytePairs:
-    return BytePairs(path)
+_loaded: dict[str, BytePairs] = {}
+
+
+def shipped(spark: SparkSession, path: str) -> Callable[[], BytePairs]:
+    """What gives a worker the encoder of a vocabulary file that only the driver need have: its bytes go along once per executor, a megabyte or so."""
+    with open(path, "rb") as f:
+        content = f.read()
+    if len(content) > MOST_BYTES:
+        raise ValueError(f"no vocabulary: {path}")
+    name, shared = hashlib.sha256(content).hexdigest(), spark.sparkContext.broadcast(content)
+
+    def load() -> BytePairs:
+        if name not in _loaded:
+            _loaded[name] = BytePairs(shared.value)
+        return _loaded[name]
+
+    return load
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """key and ids (array of int) of every row, without special tokens; what looks like one is ordinary text.
 
     Null and empty texts have an empty list; null and repeated keys are kept as they are, one row per
-    row. Whole texts, however long. One pass over the two columns, no shuffle; the vocabulary is a
-    file of its own that each worker reads once.
+    row. Whole texts, however long. One pass over the two columns, no shuffle; the vocabulary goes to
+    the workers with the job.
     """
+    load = shipped(documents.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(vocabulary)
+        encoder = load()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -113,9 +130,10 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def decode_corpus(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """The texts of lists of ids, the inverse of encode_corpus but for null texts, which come back empty."""
+    load = shipped(encoded.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(vocabulary)
+        encoder = load()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], [key, "text"])
 
