@@ -141,15 +141,17 @@ def route(fingerprints: DataFrame, payload: list[str], parts: int, radius: int,
     return source.mapInArrow(spreading(blocks), schema)
 
 
-def in_blocks(stored: DataFrame, asking: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+def in_blocks(stored: DataFrame, asking: DataFrame, limit: int, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Both inputs (bucket, bits, ...), uncut, with every bucket of more than `limit` rows cut into blocks in which each stored row meets each asking row once.
 
     A bucket of n times the limit stored and m times the limit asking rows has n * m blocks; a stored
     row goes to the m blocks of its part, an asking row to the n blocks of its own. Sizes are of
     what is there now, so that rows stored at different times, in whatever numbers, fit together.
+    sizes: bucket and n of the stored rows, where they are known; counted if it is left out.
     """
-    sizes = stored.select("bucket", F.lit(1).alias("s"), F.lit(0).alias("a")).unionByName(asking.select("bucket", F.lit(0).alias("s"), F.lit(1).alias("a")))
-    over = sizes.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("a").alias("a")).where((F.col("s") > 0) & (F.col("a") > 0) & ((F.col("s") > limit) | (F.col("a") > limit))).collect()
+    s = sizes if sizes is not None else stored.groupBy("bucket").agg(F.count("*").alias("n"))
+    both = asking.groupBy("bucket").agg(F.count("*").alias("a")).join(s.groupBy("bucket").agg(F.sum("n").alias("s")), "bucket")
+    over = both.where((F.col("s") > limit) | (F.col("a") > limit)).collect()
     if not over:
         return stored, asking
     cuts = F.broadcast(stored.sparkSession.createDataFrame([(r["bucket"], min(-(-r["s"] // limit), MOST_BLOCKS), min(-(-r["a"] // limit), MOST_BLOCKS)) for r in over], "bucket bigint, n bigint, m bigint"))
