@@ -40,6 +40,9 @@ class PrefixIndex:
 
     def __init__(self, spark: SparkSession, path: str, radius: int = 6, limit: int = 100_000):
         self.spark, self.path, self.radius, self.limit = spark, path, radius, limit
+        # neither changes once written
+        self._orders: tuple[int, dict[int, int]] | None = None
+        self._cuts: dict[int, list[int]] = {}
 
     def found(self, fingerprints: DataFrame, rows: int) -> PrefixIndex:
         """Start the index with the token order of these fingerprints (column bits)."""
@@ -53,8 +56,10 @@ class PrefixIndex:
         delete_path(self.spark, self.path)
 
     def _order(self) -> tuple[int, dict[int, int]]:
-        rows = self.spark.read.parquet(f"{self.path}/order").collect()
-        return rows[0]["parts"], {r["token"]: r["n"] for r in rows}
+        if self._orders is None:
+            rows = self.spark.read.parquet(f"{self.path}/order").collect()
+            self._orders = rows[0]["parts"], {r["token"]: r["n"] for r in rows}
+        return self._orders
 
     def generations(self, part: str) -> list[tuple[int, int]]:
         """(number, slots) of the generations of postings or hashes that are written to the end."""
@@ -68,7 +73,9 @@ class PrefixIndex:
 
     def _cut(self, number: int) -> list[int]:
         """The tokens that a generation divides."""
-        return [r["token"] for r in self.spark.read.parquet(f"{self.path}/cut/{number}").collect()]
+        if number not in self._cuts:
+            self._cuts[number] = [r["token"] for r in self.spark.read.parquet(f"{self.path}/cut/{number}").collect()]
+        return self._cuts[number]
 
     def append(self, fingerprints: DataFrame) -> None:
         """Add postings of distinct fingerprints: bits and stamp."""
@@ -80,20 +87,26 @@ class PrefixIndex:
 
     def _generation(self, fingerprints: DataFrame, number: int) -> None:
         parts, counts = self._order()
-        cut = [(t,) for t, n in hamming.token_counts(fingerprints, parts).items() if n > self.limit]
-        self.spark.createDataFrame(cut, "token int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cut/{number}")
-        routed = hamming.route(fingerprints, ["stamp"], parts, self.radius, counts, self.limit, blocked=False, cut=[t for (t,) in cut])
-        self._add(routed.select("bucket", "bits", F.col("stamp").cast("int").alias("stamp")), "bucket", "postings", number, fingerprints.count() * (self.radius + 1))
+        own = hamming.token_counts(fingerprints, parts)
+        self._cuts[number] = cut = [t for t, n in own.items() if n > self.limit]
+        self.spark.createDataFrame([(t,) for t in cut], "token int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cut/{number}")
+        routed = hamming.route(fingerprints, ["stamp"], parts, self.radius, counts, self.limit, blocked=False, cut=cut)
+        # each fingerprint has one token of every part
+        rows = sum(n for t, n in own.items() if t < 1 << 16)
+        written = self._add(routed.select("bucket", "bits", F.col("stamp").cast("int").alias("stamp")), "bucket", "postings", number, rows * (self.radius + 1))
+        # a row per bucket, far fewer than there are postings
+        written.groupBy("bucket").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sizes/{number}")
 
     def append_hashes(self, hashes: DataFrame) -> None:
         """Add distinct content hashes: hash and stamp."""
         number = 1 + max((n for n, _ in self.generations("hashes")), default=0)
         self._add(hashes.select("hash", F.col("stamp").cast("int").alias("stamp")), "hash", "hashes", number, hashes.count())
 
-    def _add(self, rows: DataFrame, key: str, part: str, number: int, expected: int) -> None:
+    def _add(self, rows: DataFrame, key: str, part: str, number: int, expected: int) -> DataFrame:
         slots = max(1, -(-expected // SLOT_ROWS))
         placed = rows.withColumn("slot", _slot(key, slots)).repartition(slots, "slot").sortWithinPartitions("slot", key)
         placed.write.mode("overwrite").partitionBy("slot").option("compression", "zstd").parquet(f"{self.path}/{part}/{number}.{slots}")
+        return self._read(part, ", ".join(f"{c} {t}" for c, t in rows.dtypes), (number, slots))
 
     def compact(self) -> None:
         """Put all generations together as one, routed anew. Should it break off, what is there twice does no harm."""
@@ -131,10 +144,15 @@ class PrefixIndex:
 
     def postings_for(self, probes: DataFrame) -> DataFrame:
         """(bucket, bits, stamp) of the buckets that the probes are in."""
-        buckets = probes.select("bucket").distinct()
+        buckets = Written(probes.select("bucket").distinct(), "buckets").df
         few = buckets.count() <= BROADCAST_KEYS
         return self._named("postings", _POSTINGS, "bucket", buckets).join(F.broadcast(buckets) if few else buckets, "bucket", "left_semi")
 
+    def sizes(self) -> DataFrame:
+        """bucket and n, a row per generation: how many postings a bucket has."""
+        numbers = [n for n, _ in self.generations("postings")]
+        return self.spark.read.schema("bucket bigint, n bigint").parquet(*(f"{self.path}/sizes/{n}" for n in numbers)) if numbers else self.spark.createDataFrame([], "bucket bigint, n bigint")
+
     def known_hashes(self, hashes: DataFrame) -> DataFrame:
         """(hash) of the distinct hashes asked for that the index holds."""
         return hashes.select("hash").join(self._named("hashes", _HASHES, "hash", hashes), "hash", "left_semi")
@@ -189,7 +207,7 @@ class PrefixIndex:
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(bits[hit]), pa.array(best[hit]), pa.array(known[hit])], ["bits", "first", "known"])
 
-        postings, probes = hamming.in_blocks(postings, probes, self.limit)
+        postings, probes = hamming.in_blocks(postings, probes, self.limit, self.sizes())
         both = postings.unionByName(probes).repartition(shuffle_partitions(self.spark), "bucket").sortWithinPartitions("bucket")
         near = both.mapInArrow(hamming.by_bucket(work), "bits bigint, first int, known boolean")
         return near.groupBy("bits").agg(F.min("first").alias("first"), F.max("known").alias("known"))
@@ -226,33 +244,31 @@ def batch_files(files: DataFrame, batches: DataFrame) -> DataFrame:
 def repeats_of_earlier(rows: DataFrame, index: PrefixIndex, history: int = 0, keep: bool = True) -> DataFrame:
     """(file_id) of the rows (id, batch, hash, bits) that repeat an earlier batch's hash or come near its fingerprint.
 
-    The history founds the index; then each later batch, in order, probes it and is appended. The
+    The history, batches up to that number, founds the index; then each later batch, in order, probes it and is appended. The
     work for a batch is its own rows and the buckets and slots of the index that they name. Equal
-    hashes and fingerprints are one row each before anything is joined, so hot values cost one row,
+    hashes and fingerprints of a batch are one row each before anything is joined, so hot values cost one row,
     and what the index holds already isn't added again. Rows without a hash are judged by the
     fingerprint alone and the other way round; rows of the first batch never count. Without keep
     the last batch isn't appended, as nothing comes after it.
     """
-    prints = lambda df: df.where(F.col("bits").isNotNull()).groupBy("bits").agg(F.min("batch").cast("bigint").alias("stamp"))
-    hashes = lambda df: df.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("batch").cast("bigint").alias("stamp"))
-    old = rows.where(F.col("batch") <= history)
-    old_prints = Written(prints(old), "fingerprints").df
-    index.found(old_prints, old_prints.count())
-    index.append(old_prints)
-    index.append_hashes(hashes(old))
+    stamps = F.col("batch").cast("bigint").alias("stamp")
+    # distinct within a batch; batches lie one after the other, so that one is read by itself
+    own = lambda key, tag: Written(rows.where(F.col(key).isNotNull()).select(key, F.greatest(stamps, F.lit(history)).alias("stamp")).distinct().sortWithinPartitions("stamp"), tag).df
+    prints, hashes = own("bits", "fingerprints"), own("hash", "hashes")
+    old = prints.where(F.col("stamp") == history)
+    index.found(old, old.count())
+    index.append(old)
+    index.append_hashes(hashes.where(F.col("stamp") == history))
     near, same = [], []
     later = sorted(r["batch"] for r in rows.where(F.col("batch") > history).select("batch").distinct().collect())
     for n in later:
-        batch = rows.where(F.col("batch") == n)
-        new, new_hashes = Written(prints(batch), "fingerprints"), Written(hashes(batch), "hashes")
-        close, held = Written(index.probe(new.df), "near").df, Written(index.known_hashes(new_hashes.df), "same").df
+        new, new_hashes = prints.where(F.col("stamp") == n), hashes.where(F.col("stamp") == n)
+        close, held = Written(index.probe(new), "near").df, Written(index.known_hashes(new_hashes), "same").df
         near.append(close.select("bits", F.lit(n).alias("batch")))
         same.append(held.select("hash", F.lit(n).alias("batch")))
         if n != later[-1] or keep:
-            index.append(new.df.join(close.where("known"), "bits", "left_anti"))
-            index.append_hashes(new_hashes.df.join(held, "hash", "left_anti"))
-        new.drop()
-        new_hashes.drop()
+            index.append(new.join(close.where("known"), "bits", "left_anti"))
+            index.append_hashes(new_hashes.join(held, "hash", "left_anti"))
     if not later:
         return rows.where("false").select(F.col("id").alias("file_id"))
     late = rows.where(F.col("batch") > history)

@@ -244,11 +244,11 @@ def test_repeated_files(spark, rows, files, limit):
     t = files(*({"id": i, "scanned_at": b * 100 + i % 100, "content_hash": h and f" {h.upper()} ", "phash": x and f"{x:016x}"} for i, b, h, x in records), {"id": 900, "scanned_at": None, "phash": f"{centres[0]:016x}"})
     batches = rows(BATCHES, "batch_no int, batch_start bigint, batch_end bigint")
     r = increments.batch_files(t, batches)
-    index = increments.PrefixIndex(spark, f"{shared_dir(spark)}/index-{limit}-{rnd.random()}", 6, limit)
+    index = increments.PrefixIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", 6, limit)
     want = _repeats(records, 6)
     assert {x.file_id for x in increments.repeats_of_earlier(r, index).collect()} == want
     # batch by batch, each probed before it is appended
-    one = increments.PrefixIndex(spark, f"{shared_dir(spark)}/index-{limit}-{rnd.random()}", 6, limit)
+    one = increments.PrefixIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", 6, limit)
     prints = r.where("bits is not null").groupBy("bits").agg(F.min("batch").cast("bigint").alias("stamp"))
     old = prints.where("stamp = 0")
     one.found(old, old.count())
